@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import leakage, near_duplicates, tokens
+from corpusloom.llm import leakage, near_duplicates, sentences, tokens
 from corpusloom.llm.sql import ORACLE
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "p7_groups": near_duplicates.p7_groups,
         "p8_ids": tokens.p8_ids,
         "p9_found": leakage.p9_found,
+        "p10_found": sentences.p10_found,
     }
 
 
