@@ -27,7 +27,7 @@ LANGUAGES = ("es", "en", "fr", "de", "pt", "la")
 SAMPLE, LANDMARKS = 500, 110
 ORDERS, RIDGE = 4, 0.02
 #: A part of a text counts as another language from this many words.
-MIN_WORDS = 3
+MIN_WORDS = 4
 #: Least lead of the best language over the next for a text's language to count as told.
 MIN_LEAD = 0.02
 #: A usable label is contradicted only with at least this confidence.
@@ -237,7 +237,7 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
         merged: list[list] = []
         for a, b, s in scored.get(i, ()):
             top = np.sort(s)[::-1]
-            strong = b - a >= MIN_WORDS and top[0] - top[1] >= 0.25
+            strong = b - a >= MIN_WORDS and top[0] - top[1] >= 0.4
             k = int(s.argmax()) if strong else -1
             if merged and (k < 0 or merged[-1][2] < 0 or merged[-1][2] == k):
                 merged[-1][1] = b
