@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import leakage, near_duplicates, sentences, tokens
+from corpusloom.llm import encoding, languages, leakage, near_duplicates, scans, sentences, splitting, tokens
 from corpusloom.llm.sql import ORACLE
 
 
 def queries() -> dict:
     return {
+        "p1_found": splitting.p1_found,
+        "p1_pieces": splitting.p1_pieces,
+        "p4_found": scans.p4_found,
+        "p4_paragraphs": scans.p4_paragraphs,
+        "p5_found": encoding.p5_found,
+        "p5_restored": encoding.p5_restored,
+        "p6_found": languages.p6_found,
+        "p6_segments": languages.p6_segments,
         "p7_found": near_duplicates.p7_found,
         "p7_groups": near_duplicates.p7_groups,
         "p8_ids": tokens.p8_ids,
