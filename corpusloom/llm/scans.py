@@ -70,9 +70,10 @@ def scanned_pages(elements: DataFrame, extractions: DataFrame) -> DataFrame:
 
 _PAGE_WORD = r"(?:p[áa]g(?:ina|inas|e)?|page|seite|hoja|folio|p|s)\.?"
 _NUMERAL = r"(?:[0-9lIOoSsBZi|]{1,4}|[ivxlcdmIVXLCDM]{1,7})"
-_ALONE = re.compile(rf"^[\s\-–—\[\]()|·.~•*/]*(?:({_PAGE_WORD})\s*)?({_NUMERAL})(?:\s*(?:/|de|of|von|sur)\s*[0-9lIO]{{1,4}})?[\s\-–—\[\]()|·.~•*/]*$", re.I)
-_BESIDE = re.compile(rf"^(.*\S)(?:\s{{2,}}|\t|\s[|·–—-]\s)[\s\-–—\[(|·]*(?:({_PAGE_WORD})\s*)?({_NUMERAL})[\s\-–—\])|·.]*$", re.I)
-_BEFORE = re.compile(rf"^[\s\-–—\[(|·]*(?:({_PAGE_WORD})\s*)?({_NUMERAL})[\s\-–—\])|·.]*(?:\s{{2,}}|\t|\s[|·–—-]\s)(\S.*)$", re.I)
+_OF = r"(?:\s*(?:/|\||de|of|von|sur)\s*[0-9lIOoSB]{1,4})?"
+_ALONE = re.compile(rf"^[\s\-–—\[\]()|·.~•*/]*(?:({_PAGE_WORD})\s*)?({_NUMERAL}){_OF}[\s\-–—\[\]()|·.~•*/]*$", re.I)
+_BESIDE = re.compile(rf"^(.*\S)(?:\s{{2,}}|\t|\s[|·–—-]\s)[\s\-–—\[(|·]*(?:({_PAGE_WORD})\s*)?({_NUMERAL}){_OF}[\s\-–—\])|·.]*$", re.I)
+_BEFORE = re.compile(rf"^[\s\-–—\[(|·]*(?:({_PAGE_WORD})\s*)?({_NUMERAL}){_OF}[\s\-–—\])|·.]*(?:\s{{2,}}|\t|\s[|·–—-]\s)(\S.*)$", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
