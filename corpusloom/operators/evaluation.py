@@ -17,6 +17,13 @@ def page_refs(df: DataFrame, ref: str) -> DataFrame:
     return df.withColumn("file", file_key(F.col(ref))).withColumn("page", F.when(number.rlike(r"^-?\d{1,9}$"), number.try_cast("int")))
 
 
+def content_digest(elements: DataFrame) -> DataFrame:
+    """(path, hash): a digest of the distinct (page, text) of each file, whatever their order; combined before the shuffle."""
+    rows = elements.where(F.col("file_path").isNotNull()).select("file_path", "page", "text").distinct()
+    part = F.conv(F.substring(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("bigint")
+    return rows.groupBy(F.col("file_path").alias("path")).agg(F.concat_ws("-", F.sum(part).cast("string"), F.count(F.lit(1)).cast("string")).alias("hash"))
+
+
 def alias_map(listing: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
     """(file, canonical): names of byte-identical files and the least name of each group; files alone are left out.
 

@@ -46,7 +46,7 @@ def dormant(rows: DataFrame, arm_col: str, at: str, stale_days: int) -> DataFram
     """
     last = rows.where(F.col(at).isNotNull()).groupBy(F.col(arm_col).alias("arm")).agg(F.max(at).alias("last"))
     newest = last.agg(F.max("last").alias("newest"))
-    days = F.floor((F.unix_micros("newest") - F.unix_micros("last")) / 86_400_000_000)
+    days = F.floor((F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 86_400_000_000)
     return last.crossJoin(F.broadcast(newest)).withColumn("days", days.cast("long")).where(F.col("days") >= stale_days).select("arm", "last", "days")  # one row
 
 
@@ -195,5 +195,5 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
 def stale_gaps(events: DataFrame, seconds: int) -> DataFrame:
     """(user_id, gaps, longest): silences longer than the limit between one user's events."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1_000_000
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))) / 1_000_000
     return events.select("user_id", gap.alias("gap")).where(F.col("gap") > seconds).groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.max("gap"), 3).alias("longest"))
