@@ -44,10 +44,11 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc_id"), words(F.col(text)).alias("words")).where(F.size("words") > 0)
 
 
-def anchors(items: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def anchors(items: DataFrame, docs: DataFrame, min_words: int, near: bool = False) -> DataFrame:
     """(item_id, pos, term, around): for each window of a passage its corpus-rarest term, ties to the leftmost.
 
-    ``docs`` is the token table; document frequencies come from all of it.
+    ``docs`` is the token table; document frequencies come from all of it. With ``near`` it is the rarest
+    term that any document holds.
     """
     terms = items.select("item_id", "words", F.posexplode("words").alias("pos", "term"))
     known = terms.select("term").distinct()
@@ -57,14 +58,14 @@ def anchors(items: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    ranked = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    # A term that no document holds rules out exact matches of its windows, not near ones.
+    ranked = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit((1 << 60) if near else 0).cast("long")))
     window = W.partitionBy("item_id").orderBy("pos").rowsBetween(0, min_words - 1)
     first = F.min(F.struct("df", "pos")).over(window)
     full = F.count(F.lit(1)).over(window) == min_words
     chosen = ranked.select("item_id", first.alias("a"), full.alias("full")).where("full").select("item_id", F.col("a.pos").alias("pos"), F.col("a.df").alias("df")).distinct()
-    # A term that no document holds can't lead to a match; nor can any window that it stands in.
     return (
-        chosen.where("df > 0")
+        chosen.where((F.col("df") > 0) & (F.col("df") < (1 << 60)))
         .join(items.select(F.col("item_id").alias("_i"), "words"), F.col("item_id") == F.col("_i"))
         .select("item_id", F.col("pos").alias("item_pos"), F.get("words", F.col("pos")).alias("term"), _around(F.col("words"), F.col("pos"), min_words).alias("item_around"))
     )
@@ -88,7 +89,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, near_words: in
     ``min_words`` match nothing. Documents or passages that are null or empty give no rows.
     """
     docs = cut(docs)  # the stored token sequences, read once for frequencies and once for postings
-    anchor = cut(anchors(items, docs, min_words))
+    anchor = cut(anchors(items, docs, min_words, near_words is not None))
     anchor_terms = F.broadcast(anchor) if anchor.count() <= BROADCAST_ANCHORS else anchor
     occurrences = docs.select("doc_id", "words", F.posexplode("words").alias("doc_pos", "term"))
     met = occurrences.join(anchor_terms, "term")

@@ -189,7 +189,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 #: Runs on if the upper line does not end a sentence, the more if the lower one starts small; used where no pages can be learned from.
-_DEFAULT_PAIR = np.array([-3.0, 3.0, 2.0, -3.0, 1.0, 1.0, -2.0, 1.0, 0.0])
+_DEFAULT_PAIR = np.array([-3.0, 3.0, 2.0, -3.0, 1.0, 1.0, -2.0, 1.0, -1.5])
 
 
 def furniture(edges: DataFrame) -> DataFrame:
