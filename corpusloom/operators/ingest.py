@@ -99,9 +99,6 @@ def split_by_tokens(text: str, max_tokens: int) -> list[str]:
     return out + ([held] if held else [])
 
 
-_CHUNK = "file_path string, chunk_id int, page int, type string, source string, text string"
-
-
 def pack_page(rows: list[tuple], max_tokens: int, min_chars: int) -> list[tuple]:
     """(page, type, source, text) of one page's elements in order, packed within the budget.
 
@@ -140,19 +137,35 @@ def pack_page(rows: list[tuple], max_tokens: int, min_chars: int) -> list[tuple]
 def token_chunks(elements: DataFrame, max_tokens: int = MAX_TOKENS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(file_path, page, type, source, seq, text): chunks of whole elements of one page within a token budget.
 
-    A fold, so a grouped Python function; the group is one page of one file, never a whole file, as
-    chunks don't cross pages. ``seq`` orders a page's chunks. A null page counts as page 1, a null text as
+    A fold, so a Python function; it holds one page of one file at a time, as chunks don't cross pages. ``seq`` orders a page's chunks. A null page counts as page 1, a null text as
     empty; elements delivered twice (same file and number) count once.
     """
     clean = latest_by(elements.withColumn("page", F.coalesce("page", F.lit(1))), ["file_path", "elem_no"], [-F.col("element_id")], ["page", "type", "source", "text"])
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("elem_no")
-        file = pdf["file_path"].iloc[0]
-        got = pack_page([(p, k, s, t) for p, k, s, t in zip(pdf["page"], pdf["type"], pdf["source"], pdf["text"])], max_tokens, min_chars)
-        return pd.DataFrame([(file, p, k, s, i, t) for i, (p, k, s, t) in enumerate(got)], columns=["file_path", "page", "type", "source", "seq", "text"])
+    # Pages are far smaller than batches: one pass over sorted partitions, not one call per page.
+    n = clean.sparkSession.sparkContext.defaultParallelism * 3
+    rows = clean.select("file_path", "page", "elem_no", "type", "source", "text").repartition(n, "file_path", "page").sortWithinPartitions("file_path", "page", "elem_no")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        cols = ["file_path", "page", "type", "source", "seq", "text"]
+
+        def flush() -> list[tuple]:
+            if not held:
+                return []
+            return [(key[0], p, k, s, i, t) for i, (p, k, s, t) in enumerate(pack_page(held, max_tokens, min_chars))]
 
-    return clean.groupBy("file_path", "page").applyInPandas(pack, "file_path string, page int, type string, source string, seq int, text string")
+        for pdf in it:
+            made = []
+            for f, p, k, s, t in zip(pdf["file_path"], pdf["page"], pdf["type"], pdf["source"], pdf["text"]):
+                if (f, p) != key:
+                    made += flush()
+                    key, held = (f, p), []
+                held.append((p, k, s, t))
+            yield pd.DataFrame(made, columns=cols)
+        yield pd.DataFrame(flush(), columns=cols)
+
+    return rows.mapInPandas(run, "file_path string, page int, type string, source string, seq int, text string")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

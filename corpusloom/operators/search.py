@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.functions.text import citation_label, citation_url, sanitised_query, token_estimate, words
+from corpusloom.functions.text import FUNCTION_WORDS, citation_label, citation_url, sanitised_query, token_estimate, words
 from corpusloom.functions.unicode import base_name
+from corpusloom.session import spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query terms, or query vectors of one block, that are sent to every task at most.
@@ -20,6 +21,7 @@ BROADCAST_TERMS, QUERY_BLOCK = 200_000, 1024
 
 def postings(docs: DataFrame, key: str = "row_id", text: str = "text", group: str = "topic") -> DataFrame:
     """(topic, doc_id, term, tf, dl): one row per term of a document; documents without words have none."""
+    docs = spread(docs.select(group, key, text), key)
     w = docs.select(F.col(group).alias("topic"), F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     return w.select("topic", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("topic", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
@@ -36,12 +38,14 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "row_id", text:
 
     ``queries`` is (query_id, topic, query). The documents' terms are cut to those any query has before
     they are counted, so the index side shuffles only what can match; statistics come from all documents.
+    Function words of a query match nearly every document for next to no weight and are left out.
     Queries that sanitise to nothing, and topics without documents, give no rows. Ties go to the smaller id.
     """
-    q = queries.select("query_id", "topic", F.explode(F.array_distinct(words(sanitised_query(F.col("query"))))).alias("term"))
+    q = queries.select("query_id", "topic", F.explode(F.array_distinct(words(sanitised_query(F.col("query"))))).alias("term")).where(~F.col("term").isin(*FUNCTION_WORDS))
     terms = q.select("topic", "term").distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
+    docs = spread(docs.select(group, key, text), key)
     w = docs.select(F.col(group).alias("topic"), F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     stats = w.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     hit = w.select("topic", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, ["topic", "term"], "left_semi")

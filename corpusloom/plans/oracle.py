@@ -44,11 +44,14 @@ LOG = f"SELECT *, {AT} AS tried FROM file_state WHERE path IS NOT NULL"
 ARM = "CASE WHEN source IS NOT DISTINCT FROM 'retrieve' THEN 'retrieve' ELSE 'chat' END"
 
 
+STOP = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+
+
 def bm25(queries: str, k: int) -> str:
     """CTEs up to ``hits`` (query_id, doc_id, score, rank)."""
     return f"""
 q0 AS ({queries}),
-q AS (SELECT DISTINCT query_id, topic, unnest({words(SANITISED)}) AS term FROM q0),
+q AS (SELECT * FROM (SELECT DISTINCT query_id, topic, unnest({words(SANITISED)}) AS term FROM q0) WHERE term NOT IN ({STOP})),
 w AS (SELECT topic, row_id AS doc_id, {words('text')} AS w FROM chunks WHERE text IS NOT NULL),
 d AS (SELECT topic, doc_id, w, len(w) AS dl FROM w WHERE len(w) > 0),
 st AS (SELECT topic, count(*) AS n, avg(dl) AS avgdl FROM d GROUP BY topic),
