@@ -270,7 +270,7 @@ def join_lines(body: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
         rest = line
         if carry:
             m = _HEAD_WORD.match(line)
-            if m and m.group(1)[0].islower():
+            if m and _continues(m.group(1)):
                 broken.append((carry, m.group(1)))
                 words.append(carry + m.group(1))
                 rest = line[m.end() :]
@@ -287,6 +287,11 @@ def join_lines(body: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
     return broken, words
 
 
+def _continues(part: str) -> bool:
+    """Whether the second part of a broken word may start so: small, or misread as a digit."""
+    return part[0].islower() or (part[0] in "01569" and any(c.isalpha() for c in part))
+
+
 def _coded(line: str, m: re.Match) -> bool:
     """Part of a file name, a version, a call or the like."""
     a, b = m.start(), m.end()
@@ -564,7 +569,7 @@ def paragraphs_of(body: list[str], fixes: dict[str, str], own: set[tuple[str, st
             continue
         m = _BREAK.search(out)
         head = _HEAD_WORD.match(line)
-        if m and head and head.group(1)[0].islower():
+        if m and head and _continues(head.group(1)):
             keep = (m.group(1).lower(), head.group(1).lower()) in own
             out = out[: m.end(1)] + ("-" if keep else "") + line
         else:
