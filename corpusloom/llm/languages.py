@@ -249,8 +249,8 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
             out[i] = [(LANGUAGES[k], float(c[k]), a, b) for (a, b, k), c in zip(merged, again)]
             continue
         top = np.sort(total[i])[::-1]
-        if top[0] - top[1] >= MIN_LEAD and sum(map(len, ws)) >= 5:
-            k = int(total[i].argmax())
+        k = int(total[i].argmax())
+        if top[0] - top[1] >= MIN_LEAD and shares[i, k] >= 0.5 and sum(map(len, ws)) >= 5:
             out[i] = [(LANGUAGES[k], float(shares[i, k]), 0, len(ws))]
     return out
 
