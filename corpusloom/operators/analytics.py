@@ -172,3 +172,29 @@ def middle_page(chunks: DataFrame) -> DataFrame:
     w = W.partitionBy("file_path")
     n = pages.withColumn("i", F.row_number().over(w.orderBy("page")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     return n.where(F.col("i") == F.floor(F.col("n") / 2)).select("file_path", "page")
+
+
+def scanned_sieve(elements: DataFrame, pages: int = 10, under: int = 200) -> DataFrame:
+    """(file_path, chars, scanned): characters on the first pages; too few mean a scan without text layer."""
+    n = F.sum(F.when(F.col("page") <= pages, F.coalesce(F.char_length("text"), F.lit(0))).otherwise(0))
+    return elements.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(n.alias("chars")).withColumn("scanned", F.col("chars") < under)
+
+
+def table_shapes(elements: DataFrame) -> DataFrame:
+    """(element_id, lines, columns, empty_cells) of tables kept as tab-separated text."""
+    rows = elements.where((F.col("type") == "Table") & F.col("text").isNotNull()).select("element_id", F.split("text", "\n").alias("l"))
+    cells = F.flatten(F.transform("l", lambda x: F.split(x, "\t")))
+    return rows.select("element_id", F.size("l").alias("lines"), F.array_max(F.transform("l", lambda x: F.size(F.split(x, "\t")))).alias("columns"), F.size(F.filter(cells, lambda c: c == "")).alias("empty_cells"))
+
+
+def citation_integrity(citations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(state, n): citations whose chunk is stored on the cited page, on another one, or not at all.
+
+    The join is on file and chunk, so a file's other pages give no false mismatch. ``citations`` and
+    ``chunks`` have (name, chunk_id, page).
+    """
+    stored = chunks.where(F.col("name").isNotNull()).groupBy("name", "chunk_id").agg(F.collect_set("page").alias("pages"), F.count(F.lit(1)).alias("_n"))
+    c = citations.where(F.col("name").isNotNull()).groupBy("name", "chunk_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    s = stored.select(F.col("name").alias("_f"), F.col("chunk_id").alias("_c"), "pages")
+    state = F.when(F.col("pages").isNull(), "missing").when(F.array_contains("pages", F.col("page")), "same_page").otherwise("other_page")
+    return c.join(s, (F.col("name") == F.col("_f")) & (F.col("chunk_id") == F.col("_c")), "left").groupBy(state.alias("state")).agg(F.sum("n").alias("n"))

@@ -96,3 +96,18 @@ def compare_runs(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
         label, "mrr_a", "mrr_b", F.round(F.col("mrr_b") - F.col("mrr_a"), 4).alias("delta"),
         F.when(F.col("mrr_a").isNull(), "only_b").when(F.col("mrr_b").isNull(), "only_a").otherwise("both").alias("state"),
     )
+
+
+def short_cases(cases: DataFrame, max_tokens: int = 3) -> DataFrame:
+    """(item_id, query, long_query, relevant_pages): each case with the query of the first ``max_tokens`` words of its own.
+
+    Paired by id, so the two lists can't slip against each other.
+    """
+    short = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("query", r"\s+", " ")), " "), 1, max_tokens), " ")
+    return cases.where(F.col("query").isNotNull()).select("item_id", short.alias("query"), F.col("query").alias("long_query"), F.size("relevant_pages").alias("n_pages"))
+
+
+def truth_union(cases: DataFrame) -> DataFrame:
+    """(item_id, files): the files named by a case and those of its pages, each once, in order; pages stand in where none are named."""
+    of_pages = F.transform(F.coalesce("relevant_pages", F.array().cast("array<string>")), lambda r: F.substring_index(r, "#", 1))
+    return cases.select("item_id", F.array_union(F.coalesce("relevant_files", F.array().cast("array<string>")), of_pages).alias("files"))

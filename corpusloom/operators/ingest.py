@@ -232,3 +232,10 @@ def chunk_totals(elements: DataFrame) -> DataFrame:
     return elements.groupBy("file_path").agg(
         F.sum(F.coalesce(F.char_length("text"), F.lit(0))).alias("chars"), F.sum(token_estimate(F.col("text"))).alias("tokens"), F.countDistinct("page").alias("pages")
     ).withColumn("chars_per_page", F.round(F.col("chars") / F.greatest("pages", F.lit(1)), 4))
+
+
+def ocr_retries(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file_path): files that came out without a chunk though their extractor was not OCR already."""
+    done = chunks.where(F.col("file_path").isNotNull()).select("file_path").distinct()
+    tried = extracted.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(F.when(F.col("extractor") == "ocr", 1).otherwise(0)).alias("_ocr"))
+    return tried.where("_ocr = 0").join(done, "file_path", "left_anti").select("file_path")

@@ -197,3 +197,10 @@ def stale_gaps(events: DataFrame, seconds: int) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))) / 1_000_000
     return events.select("user_id", gap.alias("gap")).where(F.col("gap") > seconds).groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.max("gap"), 3).alias("longest"))
+
+
+def missing_collections(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(topic, requests, missing_collection): requests per topic, and whether the topic has nothing indexed; not an error."""
+    has = chunks.where(F.col("topic").isNotNull()).select(F.col("topic").alias("_t")).distinct()
+    asked = rows.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.count(F.lit(1)).alias("requests"))
+    return asked.join(has, F.col("topic") == F.col("_t"), "left").select("topic", "requests", F.col("_t").isNull().alias("missing_collection"))

@@ -518,6 +518,45 @@ def stale_gaps(s, d):
     return T.stale_gaps(events(s, d), 43200)
 
 
+# ---- further checks --------------------------------------------------------------------------------
+
+
+def scanned_sieve(s, d):
+    return A.scanned_sieve(elements(s, d))
+
+
+def table_shapes(s, d):
+    return A.table_shapes(elements(s, d))
+
+
+def citation_integrity(s, d):
+    cited = citations(s, d).select(file_key(F.col("file")).alias("name"), F.col("chunk_id").try_cast("int").alias("chunk_id"), "page")
+    return A.citation_integrity(cited, chunks(s, d).select(file_key(F.col("file_path")).alias("name"), "chunk_id", "page"))
+
+
+def short_golden(s, d):
+    return E.short_cases(golden(s, d))
+
+
+def truth_union(s, d):
+    return E.truth_union(golden(s, d)).select("item_id", F.array_join("files", "|").alias("files"))
+
+
+def missing_collections(s, d):
+    return T.missing_collections(retrievals(s, d), chunks(s, d))
+
+
+def ocr_retries(s, d):
+    """Of the files in the scan; only a part of them has chunks."""
+    return G.ocr_retries(extractions(s, d), chunks(s, d))
+
+
+def result_counts(s, d):
+    """Per query: results of either branch, of both together, and their files."""
+    fused = S.rrf(*_branches(s, d)).join(chunks(s, d).select(F.col("row_id").alias("doc_id"), "file_path"), "doc_id")
+    return fused.groupBy("query_id").agg(F.count("dense_rank").alias("dense"), F.count("bm25_rank").alias("lexical"), F.count(F.lit(1)).alias("merged"), F.countDistinct("file_path").alias("files"))
+
+
 NAMES = """text_normalize query_sanitize acronym_expand repair_counts token_count point_ids page_clamp page_marker page_resolved vector_validate
 citation_urls user_hashes heading_paths embed_inputs error_cut legibility ref_split file_names postings idf_table bm25_topk dense_topk rrf_fusion
 per_file_cap soft_trim hybrid_topk rerank_order strategy_route context_build citation_list citation_parse extract_chain text_layer_probe
@@ -527,7 +566,7 @@ extractor_mix missing_extractor_files reingest_targets file_diversity points_per
 page_sequence_fix contiguous_runs page_by_height legibility_by_source reader_comparison topic_stats latency_summary short_queries seeded_sample
 middle_page arm_summary arm_topic_counts arm_mode_counts dormant_arms since_filter monthly_retention quarantine latest_state crash_counter
 interruptions hard_death kill_attribution state_stats unknown_topics last_user_message topic_resolve generative_flag request_dedupe
-telemetry_tail stale_gaps""".split()
+telemetry_tail stale_gaps scanned_sieve table_shapes citation_integrity short_golden truth_union missing_collections ocr_retries result_counts""".split()
 
 
 def queries() -> dict[str, Query]:

@@ -266,4 +266,14 @@ SELECT marker_id, min(path) AS path FROM w JOIN p ON p.b = w.w GROUP BY marker_i
     "request_dedupe": "SELECT min(retrieval_id) AS retrieval_id FROM retrievals GROUP BY ts, query, topic, mode",
     "telemetry_tail": "SELECT retrieval_id, ts, topic FROM retrievals WHERE ts IS NOT NULL ORDER BY ts DESC, retrieval_id DESC LIMIT 50",
     "stale_gaps": "SELECT user_id, count(*) AS gaps, round(max(g), 3) AS longest FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000 AS g FROM events) WHERE g > 43200 GROUP BY user_id",
+    "scanned_sieve": "SELECT file_path, sum(CASE WHEN page <= 10 THEN coalesce(length(text), 0) ELSE 0 END)::BIGINT AS chars, sum(CASE WHEN page <= 10 THEN coalesce(length(text), 0) ELSE 0 END) < 200 AS scanned FROM elements WHERE file_path IS NOT NULL GROUP BY 1",
+    "table_shapes": """SELECT element_id, len(l) AS lines, list_max(list_transform(l, lambda x: len(string_split(x, chr(9))))) AS columns, len(list_filter(flatten(list_transform(l, lambda x: string_split(x, chr(9)))), lambda c: c = '')) AS empty_cells
+FROM (SELECT element_id, string_split(text, chr(10)) AS l FROM elements WHERE type = 'Table' AND text IS NOT NULL)""",
+    "citation_integrity": f"""WITH c AS (SELECT {name('file')} AS f, try_cast(chunk_id AS INTEGER) AS k, page FROM citations WHERE file IS NOT NULL), s AS (SELECT {name('file_path')} AS f, chunk_id AS k, list(page) AS pages FROM chunks WHERE file_path IS NOT NULL GROUP BY ALL)
+SELECT CASE WHEN s.f IS NULL THEN 'missing' WHEN list_contains(pages, page) THEN 'same_page' ELSE 'other_page' END AS state, count(*) AS n FROM c LEFT JOIN s ON s.f = c.f AND s.k = c.k GROUP BY 1""",
+    "short_golden": "SELECT item_id, array_to_string(string_split(trim(regexp_replace(query, '\\s+', ' ', 'g')), ' ')[1:3], ' ') AS query, query AS long_query, len(relevant_pages) AS n_pages FROM golden_cases WHERE query IS NOT NULL",
+    "truth_union": """SELECT item_id, string_agg(f, '|' ORDER BY p) AS files FROM (SELECT item_id, f, min(p) AS p FROM (SELECT item_id, unnest(v) AS f, generate_subscripts(v, 1) AS p FROM (SELECT item_id, list_concat(coalesce(relevant_files, []), list_transform(relevant_pages, lambda r: split_part(r, '#', 1))) AS v FROM golden_cases)) GROUP BY ALL) GROUP BY item_id""",
+    "missing_collections": "SELECT topic, count(*) AS requests, topic NOT IN (SELECT topic FROM chunks WHERE topic IS NOT NULL) AS missing_collection FROM retrievals WHERE topic IS NOT NULL GROUP BY topic",
+    "ocr_retries": "SELECT file_path FROM extractions WHERE file_path IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (extractor = 'ocr') = 0 AND file_path NOT IN (SELECT file_path FROM chunks WHERE file_path IS NOT NULL)",
+    "result_counts": f"WITH {fused(DEPTH)} SELECT query_id, count(dense_rank) AS dense, count(bm25_rank) AS lexical, count(*) AS merged, count(DISTINCT file_path) AS files FROM fz JOIN chunks ON row_id = doc_id GROUP BY query_id",
 }
