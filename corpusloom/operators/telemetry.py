@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from corpusloom.operators.incremental import attempt_time
 
 MAX_RETRIES = 3
+#: Characters that a context and a tracked name must share before they are compared.
+GRAM = 8
 
 
 def arm() -> Column:
@@ -130,15 +132,41 @@ def hard_deaths(file_state: DataFrame) -> DataFrame:
     return last.where(F.col("v.status") == "processing").select("path", "v.state_id")
 
 
-def kill_attribution(markers: DataFrame, tracked: DataFrame) -> DataFrame:
-    """(marker_id, path): for each kill marker the least tracked file whose name its context contains.
+def interrupted_spells(file_state: DataFrame) -> DataFrame:
+    """(path, since, until): each time from an attempt that was begun or interrupted to the path's next attempt, null if none.
 
-    Contexts name files, so the candidates are the context's own words: an equi-join instead of a
-    comparison of every marker with every file.
+    Between the two the file is tracked and all that is known of it is an interruption. Times are structs
+    (at, logged_at, state_id), in the order of attempts.
     """
-    words = markers.select("marker_id", F.explode(F.array_distinct(F.split("context", r"[\s/]+"))).alias("w"))
-    names = tracked.select("path", F.element_at(F.split("path", "/"), -1).alias("w"))
-    return words.join(names, "w").groupBy("marker_id").agg(F.min("path").alias("path"))
+    a = attempts(file_state).where(F.col("path").isNotNull())
+    a = a.withColumn("since", F.struct("at", "logged_at", "state_id"))
+    a = a.withColumn("until", F.lead("since").over(W.partitionBy("path").orderBy("since")))
+    crash = F.lower(F.coalesce("error", F.lit(""))).contains("interrump")
+    return a.where((F.col("status") != "success") & ((F.col("status") == "processing") | crash)).select("path", "since", "until")
+
+
+def kill_attribution(markers: DataFrame, spells: DataFrame) -> DataFrame:
+    """(marker_id, path): for each kill marker the least file whose name its context contains, interrupted-only at that time.
+
+    ``markers`` is (marker_id, context, since), ``spells`` what ``interrupted_spells`` gives. Candidates share a
+    name's rarest sequence of GRAM characters (the whole of a shorter name) with the context: an equi-join, and an
+    exact comparison of the pairs that are left.
+    """
+    names = spells.select("path", F.element_at(F.split("path", "/"), -1).alias("name")).distinct().where(F.length("name") > 0)
+    grams = names.select("path", "name", F.explode(_grams("name", F.least(F.length("name"), F.lit(GRAM)))).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rarest = grams.join(held, "gram").groupBy("path", "name").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"))
+    sizes = names.agg(F.collect_set(F.least(F.length("name"), F.lit(GRAM))).alias("sizes"))  # at most GRAM numbers
+    asked = markers.where(F.length("context") > 0).crossJoin(F.broadcast(sizes)).withColumn("size", F.explode("sizes"))
+    asked = asked.where(F.length("context") >= F.col("size")).select("marker_id", "context", F.col("since").alias("killed"), F.explode(_grams("context", F.col("size"))).alias("gram"))
+    found = asked.join(rarest, "gram").where(F.col("context").contains(F.col("name"))).select("marker_id", "killed", "path")
+    then = (F.col("since") <= F.col("killed")) & (F.col("until").isNull() | (F.col("killed") < F.col("until")))
+    return found.join(spells, "path").where(then).groupBy("marker_id").agg(F.min("path").alias("path"))
+
+
+def _grams(text: str, size: Column) -> Column:
+    """The distinct sequences of ``size`` characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(F.col(text), i, size)))
 
 
 def state_stats(state: DataFrame) -> DataFrame:

@@ -481,8 +481,10 @@ def hard_death(s, d):
 
 
 def kill_attribution(s, d):
-    markers = file_state(s, d).where("lower(error) LIKE '%interrump%'").select(F.col("state_id").alias("marker_id"), F.concat(F.lit("extract "), base_name(F.col("path")), F.lit(" page 3")).alias("context"))
-    return T.kill_attribution(markers, file_state(s, d).select("path").distinct())
+    killed = T.attempts(file_state(s, d)).where("lower(error) LIKE '%interrump%'")
+    context = F.concat(F.lit("extract "), base_name(F.col("path")), F.lit(" page 3"))
+    markers = killed.select(F.col("state_id").alias("marker_id"), context.alias("context"), F.struct("at", "logged_at", "state_id").alias("since"))
+    return T.kill_attribution(markers, T.interrupted_spells(file_state(s, d)))
 
 
 def state_stats(s, d):
