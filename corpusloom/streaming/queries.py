@@ -2,7 +2,8 @@
 
 Each stream reads the files there are (``availableNow``), keeps its state in a checkpoint of the shared
 folder, and writes to a sink that is read back. A later run with the same checkpoint takes up new files
-only.
+only. Files come in any order of time, so no result depends on a watermark: nothing is dropped as late,
+and the state, kept on disk, grows with the distinct requests, the sessions, and the days and arms.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpusloom.operators.telemetry import arm
 from corpusloom.session import shared_dir, table
@@ -30,19 +32,34 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
+#: State that no watermark bounds doesn't fit in memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """The query, started with its state on disk; the session's own setting is left as it was."""
+    key, provider = STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run until all files there are have been taken in, and read the sink back."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
     if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", f"{root}/out").start().awaitTermination()
+        _started(writer.outputMode("append").format("parquet").option("path", f"{root}/out"), spark).awaitTermination()
     else:
 
         def publish(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{root}/out")  # a batch repeated after a failure writes the same
 
-        writer.outputMode("complete").foreachBatch(publish).start().awaitTermination()
+        _started(writer.outputMode("complete").foreachBatch(publish), spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -61,16 +78,19 @@ def stream_arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests logged twice under a new id, once: the state of a request is dropped when the watermark passes it."""
+    """Requests logged twice under a new id, once, however far apart in time their files come."""
     rows = _stream(spark, sf_dir, "retrievals").where("ts IS NOT NULL").select(F.timestamp_millis("ts").alias("at"), "query", "topic", "mode")
-    once = rows.withWatermark("at", "60 days").dropDuplicatesWithinWatermark(["at", "query", "topic", "mode"])
+    once = rows.dropDuplicates(["at", "query", "topic", "mode"])
     return run_to_end(once.select(F.unix_millis("at").alias("ts"), "query", "topic", "mode"), "append")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user's events that lie less than six hours apart: events, and whole seconds they span."""
+    """Sessions of each user's events that lie less than six hours apart: events, and whole seconds they span.
+
+    An event that comes late joins, or joins up, the sessions there are.
+    """
     rows = _stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    s = rows.withWatermark("at", "1 day").groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    s = rows.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
     return run_to_end(s.select("user_id", "n", F.floor((F.unix_micros("b") - F.unix_micros("a")) / 1_000_000).alias("seconds")), "complete")
 
 
