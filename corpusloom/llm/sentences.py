@@ -1,11 +1,14 @@
 """Sentence boundaries across languages and scripts.
 
 Text is cut at blank lines and at list items; what is left is paragraphs. In a paragraph every run of
-terminators, with the closing marks after it, is a node of a lattice; an arc between two nodes is a
-candidate sentence. Each node has a cost for ending there and one for running on, from the word before
-it and the word after it, and the cheapest path gives the sentences. Quotations and brackets that
-close are crossed whole. In scripts without spaces the words around a gap come from a dictionary word
-lattice, and final particles and opening words decide; in Thai the gaps are the spaces.
+terminators, with the closing marks after it, is a node, and each node has a cost for ending there less
+that for running on, from the word before it and the word after it. Costs belong to nodes alone, so the
+cheapest path ends at every node of negative cost, provided that a letter or digit lies between two ends;
+no search is made. Quotations and brackets that close are crossed whole. In Japanese and Chinese a blank
+or line break is a node too: a final particle before it ends the sentence, unless the word lattice of what
+follows opens with a joining particle. After a closing quote that lattice decides by quotatives. In Thai
+the nodes are the spaces, and only a joiner after one lets the sentence run on. A sentence that ends
+without a terminator and without a gap, or at a gap without a final particle, isn't found.
 """
 
 from __future__ import annotations
@@ -26,12 +29,16 @@ MONTHS = frozenset("januar februar märz april mai juni juli august september ok
 # Function words around gaps in scripts without spaces.
 QUOTATIVES = ("という", "といい", "と言", "と述", "と話", "って", "とか", "と", "、", "，", "的", "地")
 FINALS = ("ました", "ません", "でした", "ください", "です", "ます", "だ", "か", "ね", "よ", "吗", "呢", "吧", "了", "ครับ", "ค่ะ", "คะ", "นะ")
+CJK_FINAL = re.compile(r"(?:ました|ません|でした|ください|です|ます)(?:よ?[かね]|よ)?$|[吗呢吧]$")
+CJK_FINAL_AT_BLANK = re.compile(r"(?:だ|だった)(?:よ?[かね]|よ)?$|了$")
+CJK_JOINERS = ("が", "から", "ので", "のに", "けど", "けれど", "し", "と", "か", "ね", "よ", "って", "とか", "という", "的")
+CJK_OPENINGS = ("しかし", "そして", "また", "ただし", "ところが", "ところで", "とても", "とくに", "からだ", "かつ", "的确")
 THAI_JOINERS = ("และ", "หรือ", "ฯลฯ", "ๆ")
 
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])(?:[^\S\n\r]*(?:\r\n|[\n\r\x0b\x0c\x85  ]))+")
 _ITEM = re.compile(r"(?:^|(?<=[\n\r]))[^\S\n\r]*(?:[-•*–‣◦▪·]|\(?\d{1,3}\)|\(?[A-Za-z]\)|\(?[ivxIVX]{1,5}\))[^\S\n\r]+(?=\S)")
 _NUMBERED = re.compile(r"\d{1,3}(?:\.\d{1,3})*\.?(?=\s)")
-_END = re.compile(r"""([.!?…؟۔।॥]+|[。！？｡．]+)(?:(?<=[。！？｡．”’」』）】》])[”’」』）】》]|\s?[»”](?!\w)|["'“”’»)\]」』）】》](?!\w))*|\s(?=[฀-๿])""")
+_END = re.compile(r"""([.!?…؟۔।॥]+|[。！？｡．]+)(?:(?<=[。！？｡．”’」』）】》])[”’」』）】》]|\s?[»”](?!\w)|["'“”’»)\]」』）】》](?!\w))*|\s(?=[฀-๿])|(?<=[぀-ヿ㐀-鿿豈-﫿])\s+(?=[぀-ヿ㐀-鿿豈-﫿])""")
 _MARKS = re.compile(r"[«»„“”\"「」『』()（）《》\[\]]")
 _WORD_BEFORE = re.compile(r"[^\W_]+$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -122,6 +129,12 @@ def _starts(text: str, i: int) -> str:
 def _end_cost(text: str, m: re.Match) -> float:
     """The cost of ending at this node less the cost of running on; negative where the sentence ends."""
     run, e = m.group(1), m.end()
+    if run is None and _CJK.match(text[e]):
+        before = text[max(0, m.start() - 12) : m.start()]
+        wrapped = any(c in m.group() for c in "\n\r")  # a lone character may be the first half of a word there
+        if not CJK_FINAL.search(before) and (wrapped or not CJK_FINAL_AT_BLANK.search(before)):
+            return 1.0
+        return 1.0 if word_lattice(text[e : e + 8], CJK_JOINERS + CJK_OPENINGS)[0] in CJK_JOINERS else -1.0
     if run is None:  # a space before Thai
         if m.start() == 0 or not _THAI.match(text[m.start() - 1]) and not text[m.start() - 1].isdigit() and text[m.start() - 1] not in "?!.\"”’)":
             return 1.0
@@ -206,7 +219,7 @@ def _end_cost(text: str, m: re.Match) -> float:
 
 
 def _paragraph(text: str) -> list[tuple[int, int]]:
-    """Sentence spans of one paragraph: the cheapest path through the lattice of its terminators."""
+    """Sentence spans of one paragraph: it ends at each node where ending is cheaper than running on."""
     number = _NUMBERED.match(text)
     skip = number.end() if number and number.group().endswith(".") else 0
     spans = _spans(text)
@@ -222,7 +235,7 @@ def _paragraph(text: str) -> list[tuple[int, int]]:
             continue  # inside a quotation or bracket
         nodes.append((e, _end_cost(text, m)))
     n = len(text)
-    # best[i]: the cheapest way to end at node i; an arc that holds no letter or digit is no sentence.
+    # What holds no letter or digit is no sentence.
     ends = [0]
     for e, cost in nodes:
         if cost < 0 and any(c.isalnum() for c in text[ends[-1] : e]):
