@@ -67,8 +67,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     """(query_id, doc_id, score, rank): the ``k`` vectors of highest cosine to each query vector but itself; exact.
 
     A stated set of queries goes to all tasks in blocks of QUERY_BLOCK; a task multiplies whole batches with
-    a block and keeps the best ``k`` of each query, so what is shuffled doesn't grow with the vectors.
-    Vectors that are null or of another length than the query's are passed over; zero vectors score 0.
+    a block, those of one length at a time, and keeps the best ``k`` of each query, so what is shuffled doesn't grow
+    with the vectors. Vectors that are null or of another length than the query's are passed over; zero vectors score 0.
     """
     rows = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("v")).where(F.col("v").isNotNull()).orderBy("query_id").collect()
     out = None
@@ -85,25 +85,25 @@ def _best(ids: np.ndarray, vecs: list[np.ndarray], k: int):
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = len(vecs[0]) if vecs else 0
-        q = unit(np.array([v for v in vecs if len(v) == dim]).reshape(-1, dim)) if vecs else np.zeros((0, 0))
-        own = np.array([i for i, v in zip(ids, vecs) if len(v) == dim], np.int64)
-        best: list[list[tuple[float, int]]] = [[] for _ in own]
+        dims = np.array([len(v) for v in vecs], np.int64)
+        asked = {d: (ids[dims == d], unit(np.array([v for v in vecs if len(v) == d], np.float64).reshape((dims == d).sum(), d))) for d in np.unique(dims).tolist()}
+        best: dict[int, list[list[tuple[float, int]]]] = {d: [[] for _ in own] for d, (own, _) in asked.items()}
         for batch in batches:
             col = batch.column(1)
             lengths = np.array([-1 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()])
-            keep = np.flatnonzero(lengths == dim)
-            if not len(keep) or not len(own):
-                continue
-            part = col.take(pa.array(keep))
-            m = unit(np.nan_to_num(np.asarray(part.flatten().to_numpy(zero_copy_only=False), np.float64)).reshape(-1, dim))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[keep].astype(np.int64)
-            s = np.round(q @ m.T, 6)
-            for j in range(len(own)):
-                order = np.lexsort((doc, -s[j]))[: k + 1]
-                got = [(-s[j, i], int(doc[i])) for i in order if doc[i] != own[j]][:k]
-                best[j] = sorted(best[j] + got)[:k]
-        flat = [(int(own[j]), d, -c) for j, b in enumerate(best) for c, d in b]
+            for dim, (own, q) in asked.items():
+                keep = np.flatnonzero(lengths == dim)
+                if not len(keep):
+                    continue
+                part = col.take(pa.array(keep))
+                m = unit(np.nan_to_num(np.asarray(part.flatten().to_numpy(zero_copy_only=False), np.float64)).reshape(len(keep), dim))
+                doc = batch.column(0).to_numpy(zero_copy_only=False)[keep].astype(np.int64)
+                s = np.round(q @ m.T, 6)
+                for j in range(len(own)):
+                    order = np.lexsort((doc, -s[j]))[: k + 1]
+                    got = [(-s[j, i], int(doc[i])) for i in order if doc[i] != own[j]][:k]
+                    best[dim][j] = sorted(best[dim][j] + got)[:k]
+        flat = [(int(i), d, -c) for dim, (own, _) in asked.items() for i, b in zip(own, best[dim]) for c, d in b]
         a, b, c = zip(*flat) if flat else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "doc_id", "score"])
 
