@@ -3,8 +3,9 @@
 Fragment-replicate by estimated load. A first, map-side combined count gives every key's load. The
 keys heavier than a fraction of one task's share, of which there can only be a bounded number, are
 split into shards in proportion to their load, and the shards are packed into tasks, largest first.
-All lighter keys are hashed over the tasks. Partial results are made per (key, shard) and merged per
-key. A matching side is replicated only to the shards of its key.
+All lighter keys are hashed over the tasks. Rows go to the very task their shard is packed on; partial
+results are made there per (key, shard, page) and merged per key. For joins a matching side is replicated
+only to the shards of its key; no registered query has a matching side.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ HEAVY = 0.5
 
 @dataclass(frozen=True)
 class Placement:
-    """Where the heavy keys go: key -> the tasks of its shards, one shard each."""
+    """Where the heavy keys go: key -> the tasks of its shards, one shard each; and the loads' total weight if they have one."""
 
     tasks: int
     total: int
     shards: dict[str, list[int]]
+    weight: int = 0
 
 
 def key_loads(df: DataFrame, key: str) -> DataFrame:
@@ -56,11 +58,11 @@ def pack(heavy: list[tuple[str, int]], total: int, tasks: int) -> dict[str, list
 
 def place(loads: DataFrame, key: str, tasks: int) -> Placement:
     """Bring the heavy keys, at most ``tasks / HEAVY`` rows, to the driver and place them."""
-    total = loads.agg(F.sum("load")).first()[0] or 0
+    total, weight = (x or 0 for x in loads.agg(F.sum("load"), F.sum("weight") if "weight" in loads.columns else F.lit(0)).first())
     if not total:
         return Placement(tasks, 0, {})
     heavy = loads.where(F.col("load") >= F.lit(HEAVY * total / tasks)).select(key, "load").collect()
-    return Placement(tasks, total, pack([(r[0], r[1]) for r in heavy], total, tasks))
+    return Placement(tasks, total, pack([(r[0], r[1]) for r in heavy], total, tasks), weight)
 
 
 def _assignments(spark: SparkSession, p: Placement) -> DataFrame:
@@ -84,6 +86,11 @@ def shard(df: DataFrame, key: str, placement: Placement, salt: Column) -> DataFr
     )
 
 
+def packed(df: DataFrame, key: str, placement: Placement, salt: Column) -> DataFrame:
+    """``shard``, each row in the partition that is its ``_task``."""
+    return shard(df, key, placement, salt).repartitionById(placement.tasks, F.col("_task"))
+
+
 def replicate(side: DataFrame, key: str, placement: Placement) -> DataFrame:
     """A matching side, one copy for each shard of its key, with ``_shard``; light keys have one copy."""
     heavy = F.broadcast(_assignments(side.sparkSession, placement))
@@ -98,29 +105,31 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, placement: Placement,
     return a.join(b, (F.col(key) == F.col("_rk")) & (F.col("_shard") == F.col("_rs"))).drop("_rk", "_rs", "_shard")
 
 
-def per_key(df: DataFrame, key: str, page: str, request: Column, at: Column, salt: Column, tasks: int | None = None) -> DataFrame:
+def per_key(df: DataFrame, key: str, page: str, request: Column, at: Column, salt: Column, tasks: int | None = None, weight: Column | None = None) -> DataFrame:
     """Per key: rows, distinct pages, latest request with its time, and the number of shards it took.
 
     Columns key_value, n_rows, n_pages, last_request, last_at, n_shards, total (rows with a key). Pages
     are reduced to (key, page) pairs before they are counted, so no task holds one key's whole set; null
     pages are not counted. The latest request is the one with the greatest time, ties the greater id;
-    where all times are null it is null. Empty input gives no rows.
+    where all times are null it is null. A row counts as ``weight`` rows, 1 by default. Empty input gives no rows.
     """
     spark = df.sparkSession
     tasks = tasks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = df.select(F.col(key).alias("key_value"), F.col(page).alias("page"), request.alias("request"), at.alias("at"), salt.alias("salt"))
-    placement = place(key_loads(base, "key_value"), "key_value", tasks)
-    rows = shard(base, "key_value", placement, F.col("salt"))
-    # One row per (key, shard, page) after the first exchange, which spreads heavy keys over their tasks.
+    weight = F.lit(1) if weight is None else weight
+    base = df.select(F.col(key).alias("key_value"), F.col(page).alias("page"), request.alias("request"), at.alias("at"), salt.alias("salt"), weight.cast("long").alias("weight"))
+    loads = base.where(F.col("key_value").isNotNull()).groupBy("key_value").agg(F.count(F.lit(1)).alias("load"), F.sum("weight").alias("weight"))
+    placement = place(loads, "key_value", tasks)
+    rows = packed(base, "key_value", placement, F.col("salt"))
+    # One row per (key, shard, page) in the task that the shard is packed on, without another exchange.
     first = rows.groupBy("_task", "key_value", "_shard", "page").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("at").isNotNull(), F.struct("at", "request"))).alias("last")
+        F.sum("weight").alias("n"), F.max(F.when(F.col("at").isNotNull(), F.struct("at", "request"))).alias("last")
     )
     second = first.groupBy("key_value", "page").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("_shard").alias("s"))
     out = second.groupBy("key_value").agg(
         F.sum("n").alias("n_rows"), F.count("page").alias("n_pages"), F.max("last").alias("last"), (F.max("s") + 1).alias("n_shards")
     )
     return out.select(
-        "key_value", "n_rows", "n_pages", F.col("last.request").alias("last_request"), F.col("last.at").alias("last_at"), "n_shards", F.lit(placement.total).cast("long").alias("total")
+        "key_value", "n_rows", "n_pages", F.col("last.request").alias("last_request"), F.col("last.at").alias("last_at"), "n_shards", F.lit(placement.weight).cast("long").alias("total")
     )
 
 
@@ -128,11 +137,10 @@ def topic_results(retrievals: DataFrame) -> DataFrame:
     """Per exact topic spelling; pages are those of the retrieved chunks of each request (file and page)."""
     # A request without chunks still counts: its page is null.
     pages = F.transform("retrieved", lambda r: F.concat_ws("#", r["file_path"], r["page"].cast("string")))
-    requests = retrievals.select("topic", "retrieval_id", "ts", F.array_distinct(F.coalesce(pages, F.array().cast("array<string>"))).alias("pages"))
-    counts = per_key(requests.withColumn("page", F.lit(None).cast("string")), "topic", "page", F.col("retrieval_id"), F.col("ts"), F.col("retrieval_id"))
-    seen = requests.where(F.col("topic").isNotNull()).select("topic", F.explode("pages").alias("page")).distinct()
-    n = seen.groupBy(F.col("topic").alias("_topic")).agg(F.count("page").alias("_pages"))
-    return counts.join(n, F.col("key_value") == F.col("_topic"), "left").withColumn("n_pages", F.coalesce("_pages", F.lit(0).cast("long"))).drop("_topic", "_pages")
+    pages = F.array_distinct(F.coalesce(pages, F.array().cast("array<string>")))
+    rows = retrievals.select("topic", "retrieval_id", "ts", F.posexplode_outer(pages).alias("place", "page"))
+    first = F.coalesce(F.col("place"), F.lit(0)) == 0  # a request counts once, at its first page
+    return per_key(rows, "topic", "page", F.col("retrieval_id"), F.col("ts"), F.col("retrieval_id"), weight=first.cast("int"))
 
 
 def named_citations(citations: DataFrame) -> DataFrame:
