@@ -290,7 +290,8 @@ def identify(rows: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """(row_id, part_no, lang, confidence, word_from, word_to): one row for each part of one language.
 
     Words are counted from 0 among those with letters. Texts that are null, blank, without letters, or too
-    short or undecided for their language to be told give no rows. A single foreign word makes no part.
+    short or undecided for their language to be told give no rows. Foreign parts of fewer than MIN_WORDS words, or
+    whose language leads the next by less than 0.4, make no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
