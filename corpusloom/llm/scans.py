@@ -485,11 +485,12 @@ def corrections(read: DataFrame, vocab: DataFrame, total: int) -> DataFrame:
     """(word, printed): misread words of the pages and what was printed; null where that can't be told.
 
     ``vocab`` is (word, n), ``total`` the number of elements. A word is looked up if it is rare against
-    the least count of a correction's; words with a digit among letters are misread even without one.
+    the count of its correction, which need not grow with the corpus; only the ranker is fitted to words
+    that are common in it. Words with a digit among letters are misread even without one.
     """
     floor = max(COMMON_COUNT, int(COMMON_SHARE * total))
-    common = vocab.where((F.col("n") >= floor) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$"))
-    sample = common.orderBy(F.xxhash64("word")).limit(WORD_SAMPLE).collect()
+    common = vocab.where((F.col("n") >= COMMON_COUNT) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$"))
+    sample = common.where(F.col("n") >= floor).orderBy(F.xxhash64("word")).limit(WORD_SAMPLE).collect()
     ranker = fit_ranker(sorted((r.word, r.n) for r in sample))
     own = read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("here"))
     suspects = own.join(vocab, "word", "left").select("word", F.greatest("here", F.coalesce("n", F.lit(0))).alias("m"))
