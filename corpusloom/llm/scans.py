@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -31,8 +32,10 @@ RECURS = 3
 PAIR_SAMPLE, WORD_SAMPLE = 6000, 1500
 #: A correction is at least so many times as frequent as the word it replaces.
 RATIO = 6
-#: Share of all elements that a word must appear in to be a correction, and its least count.
-COMMON_SHARE, COMMON_COUNT = 3e-4, 3
+#: Elements that a word must appear in to be a correction.
+COMMON_COUNT = 3
+#: Lines looked at from either edge at a time; pages on which all of them are furniture are looked at again without them.
+EDGE_LINES = 3
 
 SCAN_SOURCES = ("easyocr", "tesseract")
 
@@ -44,7 +47,9 @@ CONFUSIONS = tuple(
 HYPHENS = "‐‑–¬\xad-"
 _BREAK = re.compile(rf"(?<![\w{HYPHENS}])([^\W_]+)[{HYPHENS}][ \t]*$")
 _WORD = re.compile(r"[^\W_]+")
+_CODE = re.compile(r"[^\W_][._/@\\][^\W_]")
 _HEAD_WORD = re.compile(r"\s*([^\W_]+)")
+_GAP = re.compile(r"\S\s{2,}\S| · ")
 _TERMINAL = re.compile(r"[.!?:;…。][\"'»”)\]]*\s*$")
 
 
@@ -102,14 +107,36 @@ def numerals(token: str) -> list[int]:
     return sorted(set(out))
 
 
+class _Folded(dict):
+    """A word's identity, made when first asked for; '' for numbers and what may be one."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1 << 18:
+            self.clear()
+        t = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        if t.isdigit() or (any(c.isdigit() for c in t) and re.fullmatch(r"[0-9loisbz]{1,3}", t)) or re.fullmatch(r"[l1io0]{1,2}", t):
+            t = ""
+        for a, b in (("rn", "m"), ("ii", "u"), ("cl", "d"), ("ci", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("5", "s"), ("6", "o"), ("9", "g"), ("8", "b"), ("h", "b"), ("e", "c")):
+            t = t.replace(a, b)
+        self[word] = t
+        return t
+
+
+_folded = _Folded()
+
+
 def fold_line(line: str) -> str:
     """A line's identity up to letter case, accents, numbers and misread letters."""
-    t = "".join(c for c in unicodedata.normalize("NFD", line.lower()) if not unicodedata.combining(c))
-    words = [w for w in _WORD.findall(t) if not w.isdigit() and not (any(c.isdigit() for c in w) and re.fullmatch(r"[0-9loisbz]{1,3}", w)) and not re.fullmatch(r"[l1io0]{1,2}", w)]
-    s = " ".join(words)
-    for a, b in (("rn", "m"), ("ii", "u"), ("cl", "d"), ("ci", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("5", "s"), ("6", "o"), ("9", "g"), ("8", "b"), ("h", "b"), ("e", "c")):
-        s = s.replace(a, b)
-    return s
+    t = line.lower()
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+    return " ".join(filter(None, map(_folded.__getitem__, _WORD.findall(t))))
+
+
+def line_key(place: str, line: str) -> int | None:
+    """A hash of an edge and a line's identity; None for lines of fewer than three letters."""
+    t = fold_line(line)
+    return int.from_bytes(xxhash.xxh3_64_digest(place + t), "big", signed=True) if sum(map(str.isalpha, t)) >= 3 else None
 
 
 def pair_features(upper: str, lower: str) -> list[float]:
@@ -120,55 +147,58 @@ def pair_features(upper: str, lower: str) -> list[float]:
         1.0 if _TERMINAL.search(u) else 0.0,
         1.0 if first.islower() else 0.0,
         1.0 if u[-1:] in HYPHENS and u else 0.0,
-        1.0 if re.search(r"\S\s{2,}\S| · ", u if len(u) < len(v) else v) else 0.0,
+        1.0 if _GAP.search(u if len(u) < len(v) else v) else 0.0,
         min(len(u), 90) / 90,
         min(len(v), 90) / 90,
         1.0 if u.isupper() or v.isupper() else 0.0,
-        1.0 if u[-1:] == "," or re.match(r"[,;]", v) else 0.0,
+        1.0 if u[-1:] == "," or v[:1] in (",", ";") else 0.0,
     ]
 
 
-def edges_of(text: str) -> list[dict]:
-    """The first and last two lines of a page: place, identity, page numbers, and features with the inner neighbour."""
+def edges_of(text: str) -> list[tuple]:
+    """The first and last EDGE_LINES lines of a page: place, identity, page numbers, and features with the inner neighbour."""
     lines = [x for x in text.split("\n") if x.strip()]
     n = len(lines)
-    spots = {("T", 0): 0, ("T", 1): 1, ("B", 0): n - 1, ("B", 1): n - 2}
-    out, used = [], set()
-    for (place, depth), i in sorted(spots.items(), key=lambda x: x[0][1]):
-        if not 0 <= i < n or i in used:
-            continue
-        used.add(i)
+    out = []
+    for place, i in [("T", i) for i in range(min(EDGE_LINES, n))] + [("B", i) for i in range(n - 1, max(n - 1 - EDGE_LINES, EDGE_LINES - 1), -1)]:
         line = lines[i].strip()
         inner = (line, lines[i + 1]) if place == "T" and i + 1 < n else (lines[i - 1], line) if place == "B" and i > 0 else ("x.", line)
-        alone = _ALONE.match(line)
-        word, number, head = "", "", line
-        if alone and numerals(alone.group(2)):
-            word, number, head = alone.group(1) or "", alone.group(2), ""
-        elif (m := _BESIDE.match(line)) and numerals(m.group(3)):
-            head, word, number = m.group(1), m.group(2) or "", m.group(3)
-        elif (m := _BEFORE.match(line)) and numerals(m.group(2)):
-            word, number, head = m.group(1) or "", m.group(2), m.group(3)
-        key = fold_line(head)
-        out.append({"place": place, "depth": depth, "key": key if sum(c.isalpha() for c in key) >= 3 and len(line) <= 90 else "", "numbers": numerals(number) if number else [], "features": pair_features(*inner)})
+        number, head = "", line
+        if len(line) < 3 or line[:6].strip("-–—[]()|·.~•*/ \t")[:1] in _NUMBER_STARTS or _NUMBER_ENDS.search(line):
+            alone = _ALONE.match(line)
+            if alone and numerals(alone.group(2)):
+                number, head = alone.group(2), ""
+            elif (m := _BESIDE.match(line)) and numerals(m.group(3)):
+                head, number = m.group(1), m.group(3)
+            elif (m := _BEFORE.match(line)) and numerals(m.group(2)):
+                number, head = m.group(2), m.group(3)
+        key = line_key(place, head) if head else None
+        found = numerals(number) if number else []
+        if key is not None or found:
+            out.append((place, key, found, pair_features(*inner)))
     return out
 
 
-_EDGE = "element_id bigint, file_path string, elem_no int, place string, depth int, key string, numbers array<int>, features array<double>, inner boolean"
+#: What a line with a page number can begin with, and how it can end; others are not matched against the patterns.
+_NUMBER_STARTS = frozenset("0123456789lIOoSsBZi|ivxlcdmIVXLCDMpPsShHfF")
+_NUMBER_ENDS = re.compile(r"[0-9lIOoSsBZi|ivxlcdmIVXLCDM][\s\-–—\])|·.~•*/]*$")
+_EDGE = "element_id bigint, file_path string, elem_no int, place string, key bigint, numbers array<int>, features array<double>, inner boolean"
 
 
 def _edges(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("element_id", pa.int64()), ("file_path", pa.string()), ("elem_no", pa.int32()), ("place", pa.string()), ("depth", pa.int32()), ("key", pa.string()), ("numbers", pa.list_(pa.int32())), ("features", pa.list_(pa.float64())), ("inner", pa.bool_())])
+        types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.bool_()]
+        names = ["element_id", "file_path", "elem_no", "place", "key", "numbers", "features", "inner"]
         for batch in batches:
             made = []
             for i, f, n, t in zip(*(c.to_pylist() for c in batch.columns)):
-                same = {"element_id": i, "file_path": f, "elem_no": n}
-                made += [same | e | {"inner": False} for e in edges_of(t)]
+                made += [(i, f, n, *e, False) for e in edges_of(t)]
                 lines = [x for x in t.split("\n") if x.strip()]
                 if len(lines) >= 7:  # one pair from the middle, for the classifier
                     k = len(lines) // 2
-                    made.append(same | {"place": "M", "depth": 0, "key": "", "numbers": [], "features": pair_features(lines[k - 1], lines[k]), "inner": True})
-            yield pa.RecordBatch.from_pylist(made, schema=schema)
+                    made.append((i, f, n, "M", None, [], pair_features(lines[k - 1], lines[k]), True))
+            cols = list(zip(*made)) if made else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return pages.select("element_id", "file_path", "elem_no", "text").mapInArrow(run, _EDGE)
 
@@ -188,8 +218,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     return w
 
 
-#: Runs on if the upper line does not end a sentence, the more if the lower one starts small; used where no pages can be learned from.
-_DEFAULT_PAIR = np.array([-3.0, 3.0, 2.0, -3.0, 1.0, 1.0, -2.0, 1.0, -1.5])
+# Lines that run on and lines that stand apart, always among what the classifier is fitted to.
+RUN_ON = (("regula la presión del", "circuito cerrado"), ("the pressure of the", "circuit stays"), ("wird der Druck des", "Kreises"), ("la diso-", "lución salina"), ("del motor,", "según el manual"), ("la mémoire de", "Paris reste"))
+APART = (("MANUAL DE TALLER", "El motor gira."), ("Tema 3 · Redes", "Cada equipo tiene"), ("Resumen del curso", "La válvula regula"), ("gira el motor.", "Apuntes de Física"), ("Kursheft 2   12", "Der Druck sinkt"), ("se cierra.", "IES Norte"))
 
 
 def furniture(edges: DataFrame) -> DataFrame:
@@ -199,36 +230,34 @@ def furniture(edges: DataFrame) -> DataFrame:
     not run through it on most of them. Page numbers are those whose distance from the page's order is the
     file's most frequent one, on at least RECURS pages.
     """
-    named = edges.where((F.col("key") != "") & ~F.col("inner"))
+    named = edges.where(F.col("key").isNotNull())
     counted = named.groupBy("file_path", "place", "key").agg(F.countDistinct("elem_no").alias("pages"), *[F.avg(F.get("features", F.lit(i))).alias(f"f{i}") for i in range(8)]).where(F.col("pages") >= RECURS)
     counted = cut(counted)
     # Weak labels: pairs amid a page run on; those at the edge where a line recurs often do not.
     inside = edges.where("inner").select(F.xxhash64("element_id").alias("h"), "features").orderBy("h").limit(PAIR_SAMPLE // 2).collect()
     apart = counted.where((F.col("pages") >= 2 * RECURS) & (F.col("f1") < 0.5)).orderBy(F.desc("pages"), "file_path", "key").limit(PAIR_SAMPLE // 2).collect()
-    if len(inside) >= 50 and len(apart) >= 5:
-        x = np.array([r.features for r in inside] + [[r[f"f{i}"] for i in range(8)] for r in apart])
-        w = fit_logistic(x, np.array([1.0] * len(inside) + [0.0] * len(apart)))
-    else:
-        w = _DEFAULT_PAIR
+    on = [pair_features(*p) for p in RUN_ON] + [r.features for r in inside]
+    off = [pair_features(*p) for p in APART] + [[r[f"f{i}"] for i in range(8)] for r in apart]
+    w = fit_logistic(np.array(on + off), np.array([1.0] * len(on) + [0.0] * len(off)))
     score = F.lit(float(w[8]))
     for i in range(8):
         score = score + F.col(f"f{i}") * F.lit(float(w[i]))
     # A line that mostly ends as a sentence does is text, however often it recurs.
     ends = F.when(F.col("place") == "B", F.lit(0.0)).otherwise(F.col("f0"))
-    keys = counted.where((score < 0) & (ends < 0.5)).groupBy("file_path").agg(F.collect_set(F.concat("place", "key")).alias("keys"))
+    keys = counted.where((score < 0) & (ends < 0.5)).groupBy("file_path").agg(F.collect_set("key").alias("keys"))
     numbers = edges.where(~F.col("inner") & (F.size("numbers") > 0)).select("file_path", "elem_no", F.explode("numbers").alias("number"))
     offsets = numbers.groupBy("file_path", (F.col("number") - F.col("elem_no")).alias("offset")).agg(F.countDistinct("elem_no").alias("n")).where(F.col("n") >= RECURS)
     best = offsets.groupBy("file_path").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
     return keys.join(best, "file_path", "full")
 
 
-def split_page(text: str, elem_no: int | None, keys: set[str], offset: int | None) -> tuple[list[str], bool, bool]:
-    """(body lines, had furniture, had a page number): peels furniture and numbers off both edges."""
+def split_page(text: str, elem_no: int | None, keys: set[int], offset: int | None) -> tuple[list[str], bool, bool, bool]:
+    """(body lines, had furniture, had a page number, more may follow): peels furniture and numbers off both edges."""
     lines = text.split("\n")
-    drop, head, number = set(), False, False
+    drop, head, number, more = set(), False, False, False
     filled = [i for i, x in enumerate(lines) if x.strip()]
     for place, order in (("T", filled), ("B", filled[::-1])):
-        for i in order[:2]:
+        for depth, i in enumerate(order[:EDGE_LINES]):
             if i in drop:
                 break
             line = lines[i].strip()
@@ -237,20 +266,21 @@ def split_page(text: str, elem_no: int | None, keys: set[str], offset: int | Non
             m = _ALONE.match(line)
             if m and _is_page(m.group(2), elem_no, offset, bool(m.group(1)) or line[0] in "-–—[("):
                 found_number = True
-            else:
+            elif keys:
                 for pattern, h, k, w in ((_BESIDE, 1, 3, 2), (_BEFORE, 3, 2, 1)):
                     b = pattern.match(line)
-                    if b and place + fold_line(b.group(h)) in keys:
+                    if b and line_key(place, b.group(h)) in keys:
                         found_head = True
                         found_number = _is_page(b.group(k), elem_no, offset, bool(b.group(w)) or bool(re.search(r"[\[(—–]\s*\w+\s*[\])—–]?\s*$", line)))
                         break
-                if not found_head and place + fold_line(line) in keys:
+                if not found_head and line_key(place, line) in keys:
                     found_head = True
             if not (found_head or found_number):
                 break
             head, number = head or found_head, number or found_number
             drop.add(i)
-    return [x for i, x in enumerate(lines) if i not in drop], head, number
+            more = more or depth + 1 == EDGE_LINES
+    return [x for i, x in enumerate(lines) if i not in drop], head, number, more and len(drop) < len(filled)
 
 
 def _is_page(token: str, elem_no: int | None, offset: int | None, marked: bool) -> bool:
@@ -281,7 +311,7 @@ def join_lines(body: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
         if m and i + 1 < len(body):
             carry = m.group(1)
             rest = rest[: m.start()]
-        words += [x.group() for x in _WORD.finditer(rest) if not _coded(rest, x)]
+        words += [x.group() for x in _WORD.finditer(rest) if not _coded(rest, x)] if _CODE.search(rest) else _WORD.findall(rest)
     if carry:
         words.append(carry)
     return broken, words
@@ -300,13 +330,20 @@ def _coded(line: str, m: re.Match) -> bool:
 
 def is_suspect(word: str) -> bool:
     """Words worth looking up: of four letters or more, not numbers or measures."""
-    letters = sum(c.isalpha() for c in word)
-    return letters >= 3 and len(word) >= 4
+    return len(word) >= 4 and sum(map(str.isalpha, word)) >= 3
+
+
+class _Suspects(dict):
+    """A word in lower case if it is worth looking up, else ''."""
 
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1 << 18:
+            self.clear()
+        v = self[word] = word.lower() if is_suspect(word) else ""
+        return v
 
-def mixed(word: str) -> bool:
-    """A digit where only letters make sense."""
-    return bool(re.search(r"[^\W\d_]{2}[01569][^\W\d_]|[^\W\d_][01569][^\W\d_]{2}|[^\W\d_]{4}[0156]$|^[0156][^\W\d_]{4}", word))
+
+_suspects = _Suspects()
 
 
 @lru_cache(maxsize=1 << 16)
@@ -410,9 +447,17 @@ class Boosted:
         return f
 
 
+# Common words, always among what the ranker is fitted to, so that a small vocabulary does not leave it without examples.
+SEED_WORDS = (
+    "memoria", "presión", "circuito", "motor", "válvula", "temperatura", "proceso", "sistema", "energía", "corriente", "número", "lección", "pressure", "system", "current", "memory",
+    "number", "process", "température", "mémoire", "pression", "réseau", "spannung", "leitung", "speicher", "druck", "übung", "pressão", "sistema", "memória", "disciplina", "fortuna",
+)
+
+
 def fit_ranker(words: list[tuple[str, int]]) -> Boosted:
     """Fit to vocabulary words and their corruptions: true pairs against near strangers. Deterministic."""
     rng = np.random.default_rng(7)
+    words = [*words, *((w, 400) for w in SEED_WORDS if w not in dict(words))]
     words = [(w, n) for w, n in words if len(w) >= 4 and w.isalpha()]
     by: dict[str, list[int]] = {}
     for i, (w, _) in enumerate(words):
@@ -443,8 +488,6 @@ def fit_ranker(words: list[tuple[str, int]]) -> Boosted:
         if name != w and explain(name, w)[1]:
             x.append(rank_features(name, w, float(rng.choice([1, 2, 5])), n))
             y.append(0.0)
-    if len(x) < 20:
-        return Boosted()
     return Boosted().fit(np.array(x), np.array(y))
 
 
@@ -460,37 +503,52 @@ def compounds(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("text").rlike(r"\p{L}[-‐‑]\p{L}")).select(F.explode(found).alias("c")).select(F.regexp_replace("c", "[‐‑]", "-").alias("compound")).distinct()
 
 
-_PAGE = "element_id bigint, file_path string, elem_no int, body array<string>, furniture boolean, pageno boolean, broken array<struct<a:string,b:string>>, words array<string>"
+_PAGE = "element_id bigint, file_path string, elem_no int, body array<string>, furniture boolean, pageno boolean, more boolean, broken array<struct<a:string,b:string>>, words array<string>"
 
 
 def read_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Each page without furniture, with its broken words and the words of its running text."""
     rows = pages.join(files, "file_path", "left").select("element_id", "file_path", "elem_no", "text", "keys", "offset")
-    schema = pa.schema([("element_id", pa.int64()), ("file_path", pa.string()), ("elem_no", pa.int32()), ("body", pa.list_(pa.string())), ("furniture", pa.bool_()), ("pageno", pa.bool_()), ("broken", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))), ("words", pa.list_(pa.string()))])
+    pair = pa.struct([("a", pa.string()), ("b", pa.string())])
+    types = [pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pair), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for i, f, n, t, keys, offset in zip(*(c.to_pylist() for c in batch.columns)):
-                body, head, number = split_page(t, n, set(keys or ()), offset)
+            for n, t, keys, offset in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                body, head, number, more = split_page(t, n, set(keys or ()), offset)
                 broken, words = join_lines(body)
-                looked = sorted({w.lower() for w in words if is_suspect(w)})
-                made.append({"element_id": i, "file_path": f, "elem_no": n, "body": body, "furniture": head, "pageno": number, "broken": [{"a": a, "b": b} for a, b in broken], "words": looked})
-            yield pa.RecordBatch.from_pylist(made, schema=schema)
+                looked = set(map(_suspects.__getitem__, words))
+                looked.discard("")
+                made.append((body, head, number, more, broken, sorted(looked)))
+            cols = list(zip(*made)) if made else [()] * len(types)
+            cols[4] = [[{"a": a, "b": b} for a, b in x] for x in cols[4]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(cols, types)]], ["element_id", "file_path", "elem_no", "body", "furniture", "pageno", "more", "broken", "words"])
 
     return rows.mapInArrow(run, _PAGE)
 
 
-def corrections(read: DataFrame, vocab: DataFrame, total: int) -> DataFrame:
+def read_all(pages: DataFrame) -> DataFrame:
+    """``read_pages`` of pages whose edges are peeled EDGE_LINES lines at a time, until a line of the body stands at each edge."""
+    read = cut(read_pages(pages, furniture(cut(_edges(pages)))))
+    while read.where("more").limit(1).count():
+        was = read.where("more").select(F.col("element_id").alias("_id"), F.col("furniture").alias("_f"), F.col("pageno").alias("_p"))
+        rest = cut(read.where("more").select("element_id", "file_path", "elem_no", F.array_join("body", "\n").alias("text")))
+        again = read_pages(rest, furniture(cut(_edges(rest)))).join(was, F.col("element_id") == F.col("_id"))
+        again = again.withColumn("furniture", F.col("furniture") | F.col("_f")).withColumn("pageno", F.col("pageno") | F.col("_p")).select(*read.columns)
+        read = cut(read.where("NOT more").unionByName(again))
+    return read
+
+
+def corrections(read: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, printed): misread words of the pages and what was printed; null where that can't be told.
 
-    ``vocab`` is (word, n), ``total`` the number of elements. A word is looked up if it is rare against
-    the count of its correction, which need not grow with the corpus; only the ranker is fitted to words
-    that are common in it. Words with a digit among letters are misread even without one.
+    ``vocab`` is (word, n). A word is looked up if it is rare against the count of its correction, which
+    need not grow with the corpus. Words with a digit among letters are misread even without one.
     """
-    floor = max(COMMON_COUNT, int(COMMON_SHARE * total))
     common = vocab.where((F.col("n") >= COMMON_COUNT) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$"))
-    sample = common.where(F.col("n") >= floor).orderBy(F.xxhash64("word")).limit(WORD_SAMPLE).collect()
+    # The ranker is fitted to words by their share of the vocabulary's occurrences: rare ones seldom come in.
+    sample = common.orderBy(F.log(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30) + 1e-12) / F.col("n"), ascending=False).limit(WORD_SAMPLE).collect()
     ranker = fit_ranker(sorted((r.word, r.n) for r in sample))
     own = read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("here"))
     suspects = own.join(vocab, "word", "left").select("word", F.greatest("here", F.coalesce("n", F.lit(0))).alias("m"))
@@ -528,12 +586,9 @@ def own_hyphen(read: DataFrame, vocab: DataFrame, written: DataFrame) -> DataFra
 
 def analyse(elements: DataFrame, extractions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages as read, corrections, broken words)."""
-    pages = cut(spread(scanned_pages(elements, extractions), "element_id"))
-    edges = cut(_edges(pages))
-    read = cut(read_pages(pages, furniture(edges)))
+    read = read_all(cut(spread(scanned_pages(elements, extractions), "element_id")))
     vocab = cut(vocabulary(elements))
-    total = elements.count()
-    return read, cut(corrections(read, vocab, total)), cut(own_hyphen(read, vocab, compounds(elements)))
+    return read, cut(corrections(read, vocab)), cut(own_hyphen(read, vocab, compounds(elements)))
 
 
 def noise(elements: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -14,11 +14,26 @@ def test_numerals(token, n):
 
 
 def test_split_page():
-    keys = {"T" + S.fold_line("Manual Kayotre"), "B" + S.fold_line("Resumen Orluluca Tema 3")}
-    body, head, number = S.split_page("MANUAL KAY0TRE   Pag l2\nTexto del cuerpo.\nResumen 0rluluca  Tema 4\n12", 11, keys, 1)
-    assert (body, head, number) == (["Texto del cuerpo."], True, True)
-    assert S.split_page("El motor gira 263\nmm.", 3, set(), 1) == (["El motor gira 263", "mm."], False, False)
-    assert S.split_page("", 0, set(), None) == ([""], False, False)
+    keys = {S.line_key("T", "Manual Kayotre"), S.line_key("B", "Resumen Orluluca Tema 3")}
+    body, head, number, more = S.split_page("MANUAL KAY0TRE   Pag l2\nTexto del cuerpo.\nResumen 0rluluca  Tema 4\n12", 11, keys, 1)
+    assert (body, head, number, more) == (["Texto del cuerpo."], True, True, False)
+    assert S.split_page("El motor gira 263\nmm.", 3, set(), 1) == (["El motor gira 263", "mm."], False, False, False)
+    assert S.split_page("", 0, set(), None) == ([""], False, False, False)
+
+
+def test_headers_of_many_lines(spark):
+    heads = [f"Cabecera {w} Norte" for w in ("alfa", "beta", "gamma", "delta", "kappa")]
+    bodies = ["Así sigue\n" + "\n".join(f"la {w} parte {v} sigue en el" for v in "a be ce de e efe ge hache i jota ka ele".split()) for w in "uno dos tres cuatro cinco seis".split()]
+    rows = [(i, "f.pdf", i, "\n".join([*heads, b])) for i, b in enumerate(bodies)]
+    read = S.read_all(spark.createDataFrame(rows, "element_id long, file_path string, elem_no int, text string"))
+    got = {r.element_id: (r.body, r.furniture) for r in read.collect()}
+    assert got == {i: (b.split("\n"), True) for i, b in enumerate(bodies)}
+
+
+def test_a_ranker_of_no_words_still_ranks():
+    ranker = S.fit_ranker([])
+    good, bad = ranker.score(S.np.array([S.rank_features("mcmoria", "memoria", 1, 300), S.rank_features("tagre", "zagre", 1, 300)]))
+    assert good > 0 > bad
 
 
 def test_join_lines():
