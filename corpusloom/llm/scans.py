@@ -32,6 +32,10 @@ RECURS = 3
 PAIR_SAMPLE, WORD_SAMPLE = 6000, 1500
 #: A correction is at least so many times as frequent as the word it replaces.
 RATIO = 6
+#: Letters by which a word and its correction differ at most: a confusion is worth two.
+MAX_EDITS = 3
+#: Tables of files and of words are broadcast up to so many rows, beyond that they are shuffled.
+BROADCAST_ROWS = 100_000
 #: Elements that a word must appear in to be a correction.
 COMMON_COUNT = 3
 #: Lines looked at from either edge at a time; pages on which all of them are furniture are looked at again without them.
@@ -56,6 +60,10 @@ _TERMINAL = re.compile(r"[.!?:;…。][\"'»”)\]]*\s*$")
 # ---- which pages are scans -----------------------------------------------------------------------
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def scanned_pages(elements: DataFrame, extractions: DataFrame) -> DataFrame:
     """(element_id, file_path, elem_no, text) of the scanned files' pages with text.
 
@@ -66,7 +74,7 @@ def scanned_pages(elements: DataFrame, extractions: DataFrame) -> DataFrame:
     by_source = elements.groupBy(F.col("file_path").alias("_g")).agg(F.avg(F.when(F.col("source").isin(*SCAN_SOURCES), 1.0).otherwise(0.0)).alias("_share"))
     files = by_source.join(recorded, F.col("_g") == F.col("_f"), "left")
     scan = F.when(F.coalesce("_known", F.lit(0)) > 0, F.col("_ocr") == 1).otherwise(F.col("_share") > 0.5)
-    files = files.where(scan).select("_g")
+    files = _small(cut(files.where(scan).select("_g")))
     pages = elements.join(files, F.col("file_path") == F.col("_g"), "left_semi")
     return pages.where(F.length("text") > 0).select(F.col("element_id").cast("long").alias("element_id"), "file_path", "elem_no", "text")
 
@@ -561,6 +569,7 @@ def corrections(read: DataFrame, vocab: DataFrame) -> DataFrame:
     b = common.select(F.col("word").alias("printed"), "n", gram("word").alias("g"))
     met = a.join(b, "g").where((F.col("n") >= RATIO * F.col("m")) & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed")))
     near = met.groupBy("word", "printed", "m", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= F.length("printed") - 5)
+    near = near.where(F.levenshtein("word", "printed", MAX_EDITS) >= 0)
 
     @F.pandas_udf(DoubleType())
     def score(w: pd.Series, p: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
@@ -603,7 +612,7 @@ def noise(elements: DataFrame, extractions: DataFrame) -> DataFrame:
         return df.select("element_id", F.lit(name).alias("noise"))
 
     out = kind(broken.where("NOT own"), "hyphen").unionByName(kind(read.where("furniture"), "furniture")).unionByName(kind(read.where("pageno"), "pageno"))
-    words = read.select("element_id", F.explode("words").alias("word")).join(fixes, "word", "left_semi")
+    words = read.select("element_id", F.explode("words").alias("word")).join(_small(fixes.select("word")), "word", "left_semi")
     return out.unionByName(kind(words, "misread")).distinct()
 
 
