@@ -48,7 +48,19 @@ def test_table_against_brute_force(spark, small):
 
 def test_proximity_and_empty(spark):
     docs, items = frames(spark, [(1, "a b c d x f g h")], [(1, "a b c d e f g h")])
-    w = lambda d, k, t: d.select(d[k].alias(k), L.words(t).alias("words"))
-    near = L.leaks(w(docs, "doc_id", "text"), w(items, "item_id", "passage"), 6, near_words=6).collect()
+    near = L.leaks(docs, items, 6, near_words=6).collect()
     assert near and not any(r.exact for r in near)
     assert L.found(docs.limit(0), items).count() == 0 and L.found(docs, items.limit(0)).count() == 0
+
+
+def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = [(1, "uno dos tres cuatro cinco seis"), (2, "dos tres cuatro uno")], [(1, "cero dos tres cuatro cinco")]
+    want = {tuple(r) for r in L.found(*frames(spark, *rows), 3).collect()}
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 1)
+    assert {tuple(r) for r in L.found(*frames(spark, *rows), 3).collect()} == want == {(1, 1), (2, 1)}
+
+
+def test_repeated_items_columns_and_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5), (1, "a b c d e", 5), (None, "a b c", 1)], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([(1, "x b c d", "t"), (2, "b c d", "t"), (2, "b c d", "t")], "item_id long, passage string, text string")
+    assert sorted(tuple(r) for r in L.found(docs, items, 3).collect()) == [(1, 1), (1, 2)]
