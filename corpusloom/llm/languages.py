@@ -55,13 +55,23 @@ def label_language(label: Column) -> Column:
     return F.when(word.isin(*UNUSABLE) | (word == ""), None).otherwise(F.coalesce(code, word))
 
 
+class _Letters(dict):
+    """Letters and apostrophes as they are, all else as a space."""
+
+    def __missing__(self, code: int) -> str:
+        v = self[code] = chr(code) if chr(code).isalpha() or chr(code) in "'’" else " "
+        return v
+
+
+_letters = _Letters()
+
+
 def normal(text: str | None) -> str:
     """Letters in lower case, all else as single spaces, with a space at either end; '' without letters."""
     if not text:
         return ""
-    t = unicodedata.normalize("NFC", text).lower()
-    t = " ".join("".join(c if c.isalpha() or c in "'’" else " " for c in t).split())
-    return f" {t} " if any(c.isalpha() for c in t) else ""
+    t = " ".join(unicodedata.normalize("NFC", text).lower().translate(_letters).split())
+    return f" {t} " if t.strip(" '’") else ""
 
 
 # ---- n-grams of whole batches --------------------------------------------------------------------
@@ -98,7 +108,8 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     # Row in the upper 20 bits, 44 bits of the hash below.
-    both = np.unique((np.concatenate(rows).astype(_U) << _U(44)) | (np.concatenate(codes) >> _U(20)))
+    both = np.sort((np.concatenate(rows).astype(_U) << _U(44)) | (np.concatenate(codes) >> _U(20)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     return (both >> _U(44)).astype(np.int64), both & _U((1 << 44) - 1)
 
 
@@ -109,6 +120,15 @@ class Model:
     grams: np.ndarray
     weights: np.ndarray
 
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of single words less their mean, within bounds; each distinct word is scored once."""
+        number: dict[str, int] = {}
+        at = [number.setdefault(w, len(number)) for w in words]
+        if not number:
+            return np.zeros((0, len(LANGUAGES)))
+        single = self.scores([f" {w} " for w in number])
+        return np.clip(single - single.mean(1, keepdims=True), -0.6, 0.6)[at]
+
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
         return at, self.grams[at] == hashes
@@ -172,6 +192,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 def confidence(scores: np.ndarray) -> np.ndarray:
     """Shares of the languages: a softmax of the scores, which lie about between -1 and 1."""
+    if not len(scores):
+        return scores
     e = np.exp(5 * (scores - scores.max(1, keepdims=True)))
     return e / e.sum(1, keepdims=True)
 
@@ -202,9 +224,7 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     normed = [normal(t) for t in texts]
     words = [t.split() for t in normed]
     total = model.scores(normed)
-    flat = [f" {w} " for ws in words for w in ws]
-    single = model.scores(flat) if flat else np.zeros((0, len(LANGUAGES)))
-    single = np.clip(single - single.mean(1, keepdims=True), -0.6, 0.6)
+    single = model.word_scores([w for ws in words for w in ws])
     ends = np.cumsum([0, *map(len, words)])
     out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
     parts: list[tuple[int, int, int]] = []
@@ -230,7 +250,9 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     scored: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for (i, a, b), s in zip(several, part_scores):
         scored.setdefault(i, []).append((a, b, s))
-    shares = confidence(total)
+    mixed: list[tuple[int, list[list]]] = []
+    shares, best, ordered = confidence(total), total.argmax(1), np.sort(total, 1)
+    lead = ordered[:, -1] - ordered[:, -2]
     for i, ws in enumerate(words):
         if not ws:
             continue
@@ -245,13 +267,14 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
             else:
                 merged.append([a, b, k])
         if len({m[2] for m in merged}) > 1:
-            again = confidence(model.scores([" " + " ".join(ws[a:b]) + " " for a, b, _ in merged]))
-            out[i] = [(LANGUAGES[k], float(c[k]), a, b) for (a, b, k), c in zip(merged, again)]
+            mixed.append((i, merged))
             continue
-        top = np.sort(total[i])[::-1]
-        k = int(total[i].argmax())
-        if top[0] - top[1] >= MIN_LEAD and sum(map(len, ws)) >= 5:
+        k = int(best[i])
+        if lead[i] >= MIN_LEAD and sum(map(len, ws)) >= 5:
             out[i] = [(LANGUAGES[k], float(shares[i, k]), 0, len(ws))]
+    again = iter(confidence(model.scores([" " + " ".join(words[i][a:b]) + " " for i, merged in mixed for a, b, _ in merged])))
+    for i, merged in mixed:
+        out[i] = [(LANGUAGES[k], float(next(again)[k]), a, b) for a, b, k in merged]
     return out
 
 
