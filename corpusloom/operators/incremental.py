@@ -3,19 +3,20 @@
 The target is the state: every output row carries the key and the version of the source record it
 was made from, so the next run's input is the anti-join of the source against the target on
 (key, version). There is no separate bookmark that could run ahead of, or behind, the output. A run's
-output becomes visible through one atomic rename of a pointer file; a run that breaks off before
+output becomes visible through one atomic rename of a numbered manifest; a run that breaks off before
 that leaves the previous version in force, and the next run finds the same records again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.unicode import nfc
-from corpusloom.session import table
+from corpusloom.session import cut, shared_dir, table
 
 ABSENT = "~absent"
 
@@ -96,9 +97,34 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_or_changed(table(spark, sf_dir, "file_state"), table(spark, sf_dir, "file_listing")).select("path")
 
 
-# ---- atomic publishing -------------------------------------------------------------------------
+def p2_stored_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of ``p2_found``, by a run against a stored target: the successes are published, then the listing is advanced over them."""
+    root = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/target-{uuid.uuid4().hex}"
+    schema = "path_key string, version string, path string"
+    done = file_target(table(spark, sf_dir, "file_state")).withColumn("path", F.col("path_key"))
+    advance(done, root, schema, "path_key", "version", lambda due: due)
+    source = file_source(table(spark, sf_dir, "file_listing"))
+    seen: list[DataFrame] = []
 
-_POINTER = "CURRENT"
+    def process(due: DataFrame) -> DataFrame:
+        seen.append(due.select("path"))
+        return due
+
+    advance(source, root, schema, "path_key", "version", process)
+    return seen[0]
+
+
+# ---- a stored target ---------------------------------------------------------------------------
+#
+# A version of the target is a numbered manifest that names, for each bucket of keys, the folder of its output rows
+# and the folder of its state: (key, version, n_rows) of each record processed, whether or not it gave
+# rows. A manifest appears by a rename that fails where one of its number stands already.
+
+BUCKETS = 64
+
+
+class ConcurrentRun(RuntimeError):
+    """Another run published the version that this one was about to publish; run again."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -107,63 +133,113 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The folder of the published version, or None before the first."""
+def _manifest(root: str, number: int) -> str:
+    return f"{root}/manifest-{number:012d}.json"
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the published version, 0 before the first."""
     jvm, fs = _fs(spark, root)
-    pointer = jvm.org.apache.hadoop.fs.Path(root, _POINTER)
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    if not fs.exists(folder):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
+
+
+def _read_manifest(spark: SparkSession, root: str, number: int) -> dict:
+    if not number:
+        return {"data": {}, "state": {}}
+    jvm, fs = _fs(spark, root)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(_manifest(root, number)))
     try:
-        name = bytes(stream.readAllBytes()).decode().strip()
+        return json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
-    return f"{root}/{name}"
-
-
-def read_target(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The published version; an empty table of ``schema`` before the first."""
-    path = current_version(spark, root)
-    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Write ``df`` as a new version and make it the current one by a rename.
-
-    Readers see the old version or the new one, whole, never a mixture; a failure before the rename
-    publishes nothing, and what it wrote lies under a name that nothing points to.
-    """
-    spark = df.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    jvm, _ = _fs(spark, root)
+def _write_manifest(spark: SparkSession, root: str, number: int, content: dict) -> None:
+    jvm, fs = _fs(spark, root)
     hadoop = jvm.org.apache.hadoop.fs
     uri = hadoop.Path(root).toUri()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     context = hadoop.FileContext.getFileContext(uri, conf) if uri.getScheme() else hadoop.FileContext.getLocalFSFileContext(conf)
-    staged = hadoop.Path(root, f"{_POINTER}.{name}")
-    _, fs = _fs(spark, root)
-    stream = fs.create(staged, True)
-    stream.write(bytearray(name.encode()))
+    staged = hadoop.Path(root, f"staged-{uuid.uuid4().hex}")
+    stream = fs.create(staged, False)
+    stream.write(bytearray(json.dumps(content).encode()))
     stream.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    context.rename(staged, hadoop.Path(root, _POINTER), overwrite)
-    return f"{root}/{name}"
+    try:
+        context.rename(staged, hadoop.Path(_manifest(root, number)), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(staged, False)
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            raise ConcurrentRun(f"version {number} of {root} was published by another run") from e
+        raise
+
+
+def _read(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*sorted(folders)) if folders else spark.createDataFrame([], schema)
+
+
+def read_target(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The rows of the published version; an empty table of ``schema`` before the first."""
+    return _read(spark, list(_read_manifest(spark, root, current_version(spark, root))["data"].values()), schema)
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def _write(df: DataFrame, folder: str, key: str, touched: list[int]) -> dict[str, str]:
+    """Write ``df`` by bucket of ``key``; the folder of each touched bucket that has rows."""
+    spark = df.sparkSession
+    df.withColumn("_bucket", _bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+    jvm, fs = _fs(spark, folder)
+    return {str(b): f"{folder}/_bucket={b}" for b in touched if fs.exists(jvm.org.apache.hadoop.fs.Path(folder, f"_bucket={b}"))}
+
+
+def publish(df: DataFrame, root: str, key: str, version: str) -> int:
+    """Make ``df`` the whole target, its own rows being the state; returns the number of the version."""
+    spark = df.sparkSession
+    was = current_version(spark, root)
+    name = uuid.uuid4().hex
+    state = df.where(F.col(key).isNotNull()).groupBy(key, version).agg(F.count(F.lit(1)).alias("n_rows"))
+    every = list(range(BUCKETS))
+    content = {"data": _write(df.where(F.col(key).isNotNull()), f"{root}/data-{name}", key, every), "state": _write(state, f"{root}/state-{name}", key, every)}
+    _write_manifest(spark, root, was + 1, content)
+    return was + 1
 
 
 def advance(source: DataFrame, root: str, schema: str, key: str, version: str, process) -> DataFrame:
-    """One run: process what is pending and publish old rows of unaffected keys plus the new rows.
+    """One run: process what is pending and publish the target with the old rows of the processed keys replaced.
 
     ``process`` maps the pending rows to output rows of ``schema``, which must keep ``key`` and
-    ``version``. Running again after success finds nothing; running again after a failure finds the
-    same rows. Returns the newly published target.
+    ``version``; it may give none or several rows for a record, which counts as processed all the same. Source rows with a
+    null key can't be tracked and are left out; a key must occur once. Only buckets with pending keys are written anew. Readers see
+    the old version or the new one, whole. Running again after success finds nothing; running again after
+    a failure finds the same rows; of two runs at once the second to finish raises ConcurrentRun and
+    publishes nothing. Returns the target as published.
     """
     spark = source.sparkSession
-    old = read_target(spark, root, schema)
-    state = old.select(key, version).distinct()
-    due = pending(source, state, key, version)
+    was = current_version(spark, root)
+    manifest = _read_manifest(spark, root, was)
+    kind = dict(source.dtypes)
+    state_schema = f"`{key}` {kind[key]}, `{version}` {kind[version]}, n_rows bigint"
+    state = _read(spark, list(manifest["state"].values()), state_schema)
+    due = cut(pending(source.where(F.col(key).isNotNull()), state, key, version))
     made = process(due)
-    kept = old.join(due.select(F.col(key).alias("_due")), F.col(key) == F.col("_due"), "left_anti")
-    publish(kept.unionByName(made.select(*old.columns)), root)
+    touched = sorted(r[0] for r in due.select(_bucket(key)).distinct().collect())  # at most BUCKETS
+    if not touched:
+        return read_target(spark, root, schema)
+    done = due.select(F.col(key).alias("_due"))
+    old = _read(spark, [manifest["data"][str(b)] for b in touched if str(b) in manifest["data"]], schema)
+    kept = old.join(done, F.col(key) == F.col("_due"), "left_anti")
+    name = uuid.uuid4().hex
+    data = _write(kept.unionByName(made.select(*old.columns)), f"{root}/data-{name}", key, touched)
+    fresh = _read(spark, list(data.values()), schema).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n_rows"))
+    records = due.select(key, version).join(fresh, F.col(key) == F.col("_k"), "left").select(key, version, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+    before = _read(spark, [manifest["state"][str(b)] for b in touched if str(b) in manifest["state"]], state_schema)
+    states = _write(before.join(done, F.col(key) == F.col("_due"), "left_anti").unionByName(records), f"{root}/state-{name}", key, touched)
+    keep = {k: {b: f for b, f in manifest[k].items() if int(b) not in touched} for k in ("data", "state")}
+    _write_manifest(spark, root, was + 1, {"data": keep["data"] | data, "state": keep["state"] | states})
     return read_target(spark, root, schema)

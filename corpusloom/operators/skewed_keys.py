@@ -5,7 +5,7 @@ keys heavier than a fraction of one task's share, of which there can only be a b
 split into shards in proportion to their load, and the shards are packed into tasks, largest first.
 All lighter keys are hashed over the tasks. Rows go to the very task their shard is packed on; partial
 results are made there per (key, shard, page) and merged per key. For joins a matching side is replicated
-only to the shards of its key; no registered query has a matching side.
+only to the shards of its key.
 """
 
 from __future__ import annotations
@@ -169,3 +169,16 @@ def p3_topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_results(table(spark, sf_dir, "citations")).drop("n_shards", "total")
+
+
+def p3_pages_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key_value, n_rows, n_beyond): citations of each extracted file, and those of pages beyond its end.
+
+    A join of the skewed citations with the files' page counts, replicated to the shards of their names. Several
+    extractions of one name count with the most pages; names that were never extracted, and null pages, are not counted as beyond.
+    """
+    rows = named_citations(table(spark, sf_dir, "citations")).select("name", "page", "retrieval_id", "cite_no")
+    ends = table(spark, sf_dir, "extractions").select(file_key(F.col("file_path")).alias("name"), "total_pages").groupBy("name").agg(F.max("total_pages").alias("last"))
+    placement = place(key_loads(rows, "name"), "name", max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = skew_join(rows, ends.where(F.col("name").isNotNull()), "name", placement, F.struct("retrieval_id", "cite_no"))
+    return met.groupBy(F.col("name").alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("page") > F.col("last"), 1)).alias("n_beyond"))

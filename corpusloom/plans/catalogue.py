@@ -572,5 +572,5 @@ telemetry_tail stale_gaps scanned_sieve table_shapes citation_integrity short_go
 
 
 def queries() -> dict[str, Query]:
-    core = {"p2_found": I.p2_found, "p3_found": K.p3_found, "p3_topic_results": K.p3_topic_results, "p3_file_results": K.p3_file_results}
+    core = {"p2_found": I.p2_found, "p2_stored_target": I.p2_stored_target, "p3_pages_beyond": K.p3_pages_beyond, "p3_found": K.p3_found, "p3_topic_results": K.p3_topic_results, "p3_file_results": K.p3_file_results}
     return core | {n: globals()[n] for n in NAMES}

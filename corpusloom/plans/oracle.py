@@ -145,6 +145,11 @@ ORACLE: dict[str, str] = {
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tried DESC NULLS LAST, logged_at DESC, state_id DESC) AS n FROM s) WHERE n = 1),
 l AS (SELECT * FROM (SELECT nfc_normalize(path) AS k, path, nullif(lower(trim(hash)), '') AS h, row_number() OVER (PARTITION BY nfc_normalize(path) ORDER BY seen_at DESC, listing_id DESC) AS n FROM file_listing WHERE path IS NOT NULL) WHERE n = 1)
 SELECT l.path FROM l LEFT JOIN t ON t.k = l.k WHERE t.k IS NULL OR (l.h IS NOT NULL AND l.h IS DISTINCT FROM t.h)""",
+    "p2_stored_target": f"""WITH s AS (SELECT nfc_normalize(path) AS k, nullif(lower(trim(hash)), '') AS h, {AT} AS tried, logged_at, state_id FROM file_state WHERE status = 'success' AND path IS NOT NULL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tried DESC NULLS LAST, logged_at DESC, state_id DESC) AS n FROM s) WHERE n = 1),
+l AS (SELECT * FROM (SELECT nfc_normalize(path) AS k, path, nullif(lower(trim(hash)), '') AS h, row_number() OVER (PARTITION BY nfc_normalize(path) ORDER BY seen_at DESC, listing_id DESC) AS n FROM file_listing WHERE path IS NOT NULL) WHERE n = 1)
+SELECT l.path FROM l LEFT JOIN t ON t.k = l.k WHERE t.k IS NULL OR (l.h IS NOT NULL AND l.h IS DISTINCT FROM t.h)""",
+    "p3_pages_beyond": f"SELECT f AS key_value, count(*) AS n_rows, count(*) FILTER (page > last) AS n_beyond FROM (SELECT {name('file')} AS f, page FROM citations WHERE file IS NOT NULL) JOIN (SELECT {name('file_path')} AS e, max(total_pages) AS last FROM extractions WHERE file_path IS NOT NULL GROUP BY e) ON e = f GROUP BY f",
     "p3_found": f"""SELECT 'topic' AS field, topic AS key_value FROM retrievals WHERE topic IS NOT NULL GROUP BY topic HAVING count(*) * 100 >= 4 * (SELECT count(topic) FROM retrievals)
 UNION ALL SELECT 'file', f FROM (SELECT {name('file')} AS f FROM citations WHERE file IS NOT NULL) GROUP BY f HAVING count(*) * 100 >= 4 * (SELECT count(file) FROM citations)""",
     "p3_topic_results": """SELECT topic AS key_value, count(*) AS n_rows, coalesce(any_value(p), 0) AS n_pages, arg_max(retrieval_id, ts::HUGEINT * 100000000 + retrieval_id) AS last_request, max(ts) AS last_at FROM retrievals

@@ -70,3 +70,40 @@ def test_runs_skip_and_repeat_nothing(spark, tmp_path):
     assert got(done) == [("a", "2", "a@2"), ("b", "1", "b@1"), ("c", "1", "c@1")]
     I.advance(src(("a", "2"), ("b", "1"), ("c", "1")), root, SCHEMA, "path", "version", lambda d: worked.append(d.count()) or make(d))
     assert worked[-1] == 0
+
+
+def test_records_without_rows_null_keys_and_concurrent_runs(spark, tmp_path):
+    root = str(tmp_path / "target")
+    src = spark.createDataFrame([("a", "1"), ("none", "1"), (None, "1"), ("two", "1"), ("blank", None)], "path string, version string")
+    worked = []
+
+    def process(d):
+        worked.append(sorted(r.path for r in d.collect()))
+        d = d.where("path <> 'none'").withColumn("made", F.lit("x"))
+        return d.unionByName(d.where("path = 'two'"))
+
+    for _ in range(3):
+        out = I.advance(src, root, SCHEMA, "path", "version", process)
+    assert worked == [["a", "blank", "none", "two"], [], []]
+    assert sorted(r.path for r in out.collect()) == ["a", "blank", "two", "two"]
+    assert I.current_version(spark, root) == 1
+    more = src.unionByName(spark.createDataFrame([("b", "1")], "path string, version string"))
+
+    def raced(d):
+        I.advance(more, root, SCHEMA, "path", "version", process)
+        return process(d)
+
+    with pytest.raises(I.ConcurrentRun):
+        I.advance(more, root, SCHEMA, "path", "version", raced)
+    assert sorted(r.path for r in I.read_target(spark, root, SCHEMA).collect()) == ["a", "b", "blank", "two", "two"]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    root = str(tmp_path / "target")
+    make = lambda d: d.withColumn("made", F.col("version"))
+    rows = [(f"k{i}", "1") for i in range(200)]
+    I.advance(spark.createDataFrame(rows, "path string, version string"), root, SCHEMA, "path", "version", make)
+    one = I._read_manifest(spark, root, 1)["data"]
+    out = I.advance(spark.createDataFrame([*rows[1:], ("k0", "2")], "path string, version string"), root, SCHEMA, "path", "version", make)
+    two = I._read_manifest(spark, root, 2)["data"]
+    assert sum(one[b] != two[b] for b in one) == 1 and out.count() == 200 and out.where("version = '2'").count() == 1
