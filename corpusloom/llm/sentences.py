@@ -1,14 +1,16 @@
 """Sentence boundaries across languages and scripts.
 
-Text is cut at blank lines and at list items; what is left is paragraphs. In a paragraph every run of
-terminators, with the closing marks after it, is a node, and each node has a cost for ending there less
-that for running on, from the word before it and the word after it. Costs belong to nodes alone, so the
-cheapest path ends at every node of negative cost, provided that a letter or digit lies between two ends;
-no search is made. Quotations and brackets that close are crossed whole. In Japanese and Chinese a blank
-or line break is a node too: a final particle before it ends the sentence, unless the word lattice of what
-follows opens with a joining particle. After a closing quote that lattice decides by quotatives. In Thai
-the nodes are the spaces, and only a joiner after one lets the sentence run on. A sentence that ends
-without a terminator and without a gap, or at a gap without a final particle, isn't found.
+Text is cut at blank lines and at list items; what is left is paragraphs. A paragraph is a lattice: its
+nodes are the places where a sentence may end, an arc between two nodes is a sentence, and the cheapest path
+from the start to the end gives the sentences. Each node has a cost for ending there less that for
+running on; arcs that hold no letter or digit, or of which one end lies within a quotation or bracket that closes, aren't in the lattice.
+
+In spaced scripts the nodes are runs of terminators with the closing marks after them, and the word before and the
+word after decide. Spaceless scripts are segmented by word lattices over a dictionary of final particles,
+joining particles and opening words. In Japanese and Chinese a blank or line break is a node too: a final
+particle before it ends the sentence, unless the lattice of what follows opens with a joining particle;
+and where nothing stands between two words, a final particle followed by an opening word ends it. After a closing quote the lattice
+decides by quotatives. In Thai the nodes are the spaces, and only a joiner after one lets the sentence run on.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.session import spread, table
 
 # Abbreviations after which a sentence runs on before a name or a number.
-TITLES = frozenset("sr sra srta dr dra d dña prof mr mrs ms m mme mlle mm hr fr st sto sta ing lic univ vgl vs approx ca ej ex bzw".split())
+TITLES = frozenset(
+    "sr sra srta dr dra d dña prof profa mr mrs ms m mme mlle mm mgr hr hrn fr st sto sta ing lic univ vgl vs approx ca ej ex bzw gov capt col gen lt sgt rev hon sen maj cmdr adm cpl pres supt"
+    " gral tte cnel excmo excma ilmo ilma exmo exma avda dipl inkl zzgl bzgl ggf evtl sog".split()
+)
 COUNTERS = frozenset("p pp pág págs art arts fig figs abb núm nº no nr n s cap caps vol vols sec tab eq ec min tel apdo bd kap e g i q ch al z usw u".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 # Function words around gaps in scripts without spaces.
@@ -33,12 +38,19 @@ CJK_FINAL = re.compile(r"(?:ました|ません|でした|ください|です|
 CJK_FINAL_AT_BLANK = re.compile(r"(?:だ|だった)(?:よ?[かね]|よ)?$|了$")
 CJK_JOINERS = ("が", "から", "ので", "のに", "けど", "けれど", "し", "と", "か", "ね", "よ", "って", "とか", "という", "的")
 CJK_OPENINGS = ("しかし", "そして", "また", "ただし", "ところが", "ところで", "とても", "とくに", "からだ", "かつ", "的确")
+# Final particles that end a sentence with nothing after them, and words that open the next one.
+GAP_FINALS = ("ですか", "ますか", "でしたか", "ましたか", "ませんか", "ですよ", "ですね", "ますよ", "ますね", "です", "ます", "ました", "ません", "でした", "だ", "吗", "呢")
+GAP_OPENINGS = (
+    "それは", "それが", "これは", "これが", "あれは", "そこで", "ここで", "私は", "私が", "私の", "僕は", "彼は", "彼が", "彼女は", "彼女が", "今日は", "明日は", "昨日は", "しかし", "そして", "ただし", "だから", "ところが", "つまり", "例えば", "たとえば",
+    "我们", "他们", "她们", "你们", "这是", "那是", "但是", "然后", "所以", "因为", "可是", "不过", "我", "他", "她", "你",
+)
 THAI_JOINERS = ("และ", "หรือ", "ฯลฯ", "ๆ")
 
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])(?:[^\S\n\r]*(?:\r\n|[\n\r\x0b\x0c\x85  ]))+")
 _ITEM = re.compile(r"(?:^|(?<=[\n\r]))[^\S\n\r]*(?:[-•*–‣◦▪·]|\(?\d{1,3}\)|\(?[A-Za-z]\)|\(?[ivxIVX]{1,5}\))[^\S\n\r]+(?=\S)")
 _NUMBERED = re.compile(r"\d{1,3}(?:\.\d{1,3})*\.?(?=\s)")
 _END = re.compile(r"""([.!?…؟۔।॥]+|[。！？｡．]+)(?:(?<=[。！？｡．”’」』）】》])[”’」』）】》]|\s?[»”](?!\w)|["'“”’»)\]」』）】》](?!\w))*|\s(?=[฀-๿])|(?<=[぀-ヿ㐀-鿿豈-﫿])\s+(?=[぀-ヿ㐀-鿿豈-﫿])""")
+_GAP = re.compile(f"(?<=[\u3040-\u30ff\u3400-\u9fff])(?:{'|'.join(GAP_FINALS)})(?={'|'.join(GAP_OPENINGS)})")
 _MARKS = re.compile(r"[«»„“”\"「」『』()（）《》\[\]]")
 _WORD_BEFORE = re.compile(r"[^\W_]+$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -48,7 +60,7 @@ _THAI = re.compile(r"[฀-๿]")
 
 
 def word_lattice(text: str, words: tuple[str, ...]) -> list[str]:
-    """The cheapest segmentation: a dictionary word costs 1, a run of one character class 2, a lone character 3."""
+    """The cheapest segmentation: a dictionary word costs 1, a run of one character class 2.1, a lone character 3."""
 
     def kind(c: str) -> int:
         return 1 if "぀" <= c <= "ゟ" else 2 if "゠" <= c <= "ヿ" else 3 if c >= "㐀" else 4 if "฀" <= c <= "๿" else 0
@@ -60,7 +72,7 @@ def word_lattice(text: str, words: tuple[str, ...]) -> list[str]:
         j = i + 1
         while j < n and kind(text[j]) == kind(text[i]):
             j += 1
-        arcs = [(len(w), 1.0) for w in words if text.startswith(w, i)] + [(j - i, 2.0), (1, 3.0)]
+        arcs = [(len(w), 1.0) for w in words if text.startswith(w, i)] + [(j - i, 2.1), (1, 3.0)]
         for length, cost in arcs:
             if at + cost < best[i + length][0]:
                 best[i + length] = (at + cost, i)
@@ -218,34 +230,76 @@ def _end_cost(text: str, m: re.Match) -> float:
     return -1.0
 
 
+def _gaps(text: str) -> list[int]:
+    """Places between a final particle and an opening word with nothing between them, as the word lattice around them cuts it."""
+    out = []
+    for m in _GAP.finditer(text):
+        a, e = max(0, m.start() - 6), m.end()
+        cuts = {a}
+        for w in word_lattice(text[a : e + 4], GAP_FINALS + GAP_OPENINGS + CJK_JOINERS):
+            cuts.add(max(cuts) + len(w))
+        # Chinese has no change of character class that a lattice could cut at: there the two words decide alone.
+        if m.group() in "吗呢" or (m.start() in cuts and e in cuts):
+            out.append(e)
+    return out
+
+
+def _cheapest(text: str, nodes: list[tuple[int, float]]) -> list[int]:
+    """The nodes of the cheapest path from 0 to the end of ``text`` whose every arc holds a letter or digit.
+
+    ``nodes`` are (position, cost) in order of position; the end is a node of no cost. A text without letters or digits is one arc.
+    """
+    n = len(text)
+    stops = [(0, 0.0), *((e, c) for e, c in nodes if 0 < e < n), (n, 0.0)]
+    held = [0]  # letters and digits before each stop, as far as it matters: whether the count grows
+    for (a, _), (b, _) in zip(stops, stops[1:]):
+        held.append(held[-1] + any(map(str.isalnum, text[a:b])))
+    best, back = [0.0], [-1]
+    # The cheapest of the stops with a lesser count than each stop's: counts grow along the text, so a pointer finds them.
+    lead, top, k = 0, (0.0, 0), 0
+    for j in range(1, len(stops)):
+        while k < j and held[k] < held[j]:
+            top = min(top, (best[k], -k)) if k else (best[0], 0)
+            k += 1
+        if k and held[-top[1]] < held[j]:
+            best.append(top[0] + stops[j][1])
+            back.append(-top[1])
+        else:
+            best.append(float("inf"))
+            back.append(0)
+    j = len(stops) - 1
+    if best[j] == float("inf"):  # what follows the last node holds nothing: it belongs to the sentence before
+        j = min(range(len(stops)), key=lambda i: (best[i] if i else float("inf"), -i))
+        if best[j] == float("inf"):
+            return [0, n]
+    path = [n]
+    j = back[j]
+    while j > 0:
+        path.append(stops[j][0])
+        j = back[j]
+    return [0, *path[::-1]]
+
+
 def _paragraph(text: str) -> list[tuple[int, int]]:
-    """Sentence spans of one paragraph: it ends at each node where ending is cheaper than running on."""
+    """Sentence spans of one paragraph: the arcs of the cheapest path through its lattice."""
     number = _NUMBERED.match(text)
     skip = number.end() if number and number.group().endswith(".") else 0
     spans = _spans(text)
+    ends = [(m.end() if m.group(1) is not None else m.start(), m) for m in _END.finditer(text)]
+    if _CJK.search(text):
+        ends = sorted([*ends, *((e, None) for e in _gaps(text))], key=lambda x: x[0])
     nodes: list[tuple[int, float]] = []
     s = 0
-    for m in _END.finditer(text):
-        e = m.end() if m.group(1) is not None else m.start()
+    for e, m in ends:
         if e <= skip:
             continue
         while s < len(spans) and spans[s][1] < e:
             s += 1
         if s < len(spans) and spans[s][0] < e <= spans[s][1]:
             continue  # inside a quotation or bracket
-        nodes.append((e, _end_cost(text, m)))
-    n = len(text)
-    # What holds no letter or digit is no sentence.
-    ends = [0]
-    for e, cost in nodes:
-        if cost < 0 and any(c.isalnum() for c in text[ends[-1] : e]):
-            ends.append(e)
-    if ends[-1] < n:
-        if len(ends) > 1 and not any(c.isalnum() for c in text[ends[-1] :]):
-            ends[-1] = n
-        else:
-            ends.append(n)
-    return list(zip(ends, ends[1:]))
+        nodes.append((e, -1.0 if m is None else _end_cost(text, m)))
+    at = _cheapest(text, nodes)
+    return list(zip(at, at[1:]))
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
