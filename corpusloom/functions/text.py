@@ -24,8 +24,10 @@ ACRONYMS = {
 
 # Spanish function words for the legibility share.
 FUNCTION_WORDS = (
-    "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue"
-).split()
+    "de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una",
+    "su", "para", "es", "al", "lo", "como", "más", "o", "pero", "sus", "le", "ha", "me", "si", "sin", "sobre",
+    "este", "ya", "entre", "cuando", "todo", "esta", "ser", "son", "dos", "también", "fue",
+)
 
 # Fixed value: the namespace of point ids, 6f9619ff-8b86-d011-b42d-00c04fc964ff.
 POINT_NAMESPACE = "6f9619ff8b86d011b42d00c04fc964ff"
@@ -56,6 +58,69 @@ def expanded_acronyms(query: Column) -> Column:
     return F.when(query.isNull() | (query == ""), query).otherwise(F.array_join(F.filter(F.array(query, *terms), lambda t: t.isNotNull()), " "))
 
 
+# The reference's forms of glyphs of fonts, and of accented letters that a font's own encoding shows as others.
+GLYPH, LOST_GLYPH = r"GLYPH<(?=\d{1,7}>)", r"GLYPH<c=\d+,font=[^>]*>"
+STANDARD_LETTERS = {"Æ": "á", "Ø": "é", "œ": "ú", "æ": "ñ", "Œ": "Í"}
+_MARK = "\x01"
+
+
+def _glyph(code: Column) -> Column:
+    """The character of a numbered glyph: controls as nothing, 128 to 159 by code page 1252; null if there is none."""
+    windows = F.array(*[F.lit(bytes([c]).decode("cp1252", "ignore")) for c in range(128, 160)])
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), None)
+        .when((code < 32) | (code == 127), "")
+        .when(code.between(128, 159), F.get(windows, code - 128))
+        .otherwise(wide)
+    )
+
+
+def repaired(text: Column) -> Column:
+    """(text, glyph_decimal, standard_encoding, unrecoverable): text with glyphs and letters repaired, and how many of each.
+
+    Numbered glyphs first, so that a letter that comes of one is repaired in turn; letters only next to a letter. Null
+    stays null with counts of 0.
+    """
+    pieces = F.split(text, GLYPH)
+    made = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda p: F.struct(_glyph(F.regexp_extract(p, r"^(\d+)>", 1).cast("int")).alias("c"), p.alias("p")),
+    )
+    tail = F.transform(made, lambda m: F.coalesce(F.concat(m["c"], F.regexp_replace(m["p"], r"^\d+>", "")), F.concat(F.lit("GLYPH<"), m["p"])))
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+    letters = "".join(STANDARD_LETTERS)
+    marked = F.regexp_replace(F.replace(decoded, F.lit(_MARK), F.lit("")), f"(?<=[A-Za-zÀ-ÿ])[{letters}]|[{letters}](?=[A-Za-zÀ-ÿ])", f"{_MARK}$0")
+    out = marked
+    for seen, meant in STANDARD_LETTERS.items():
+        out = F.replace(out, F.lit(_MARK + seen), F.lit(meant))
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+    return F.struct(
+        out.alias("text"), count(F.size(F.filter(made, lambda m: m["c"].isNotNull()))).alias("glyph_decimal"),
+        count(F.length(marked) - F.length(F.replace(marked, F.lit(_MARK), F.lit("")))).alias("standard_encoding"), count(F.regexp_count(text, F.lit(LOST_GLYPH))).alias("unrecoverable"),
+    )
+
+
+def embed_query(query: Column, model: Column) -> Column:
+    """The query with the prefix its embedding model asks for; names are told by what they contain, in any letter case."""
+    m = F.lower(model)
+    return F.when(m.contains("e5") & m.contains("instruct"), F.concat(F.lit("Instruct: Retrieve relevant documents\nQuery: "), query)).when(m.contains("e5"), F.concat(F.lit("query: "), query)).otherwise(query)
+
+
+def embed_passage(text: Column, model: Column) -> Column:
+    m = F.lower(model)
+    return F.when(m.contains("e5") & ~m.contains("instruct"), F.concat(F.lit("passage: "), text)).otherwise(text)
+
+
+def context_limit(generative: Column, configured: int = 12_000, window: int = 16_384, answer: int = 2_048, soft: int = 6_000) -> Column:
+    """Tokens of context: for generative requests what the window leaves beside the answer and 1,000 more, at most the configured number; else the soft limit."""
+    return F.when(F.coalesce(generative, F.lit(False)), min(configured, window - answer - 1000)).otherwise(soft)
+
+
+def collection_name(topic: Column, suffix: str = "") -> Column:
+    return F.concat(F.lit("rag_"), F.lower(topic), F.lit(suffix))
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens where no tokenizer is at hand: a quarter of the characters, at least one; null counts as empty."""
     return F.greatest(F.lit(1), F.floor(F.coalesce(F.char_length(text), F.lit(0)) / 4)).cast("long")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -79,23 +83,27 @@ def total_pages(extractions: DataFrame) -> DataFrame:
 def fixed_pages(chunks: DataFrame, totals: DataFrame, jump: int = 20) -> DataFrame:
     """(row_id, page, fixed): invalid pages carry the last valid one, none exceeds the total, jumps over ``jump`` become the page before plus one.
 
-    The first two passes are windows. The third looks at what it has itself made of the page before, a
-    fold: it runs over the file's (id, page) pairs, 16 bytes a chunk, in one expression.
+    All three passes are one fold over a file's chunks in order. It runs over partitions sorted by file, batch by
+    batch, and carries two numbers from chunk to chunk, so no file is held whole.
     """
-    ok = F.when(F.col("page").between(1, 50000), F.col("page"))
-    w = W.partitionBy("file_path").orderBy("chunk_id", "row_id")
-    rows = chunks.select("file_path", "row_id", "chunk_id", "page").withColumn("p", F.coalesce(F.last(ok, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(1)))
-    rows = rows.join(totals.select("file_path", "total_pages"), "file_path", "left")
-    rows = rows.withColumn("p", F.when(F.col("total_pages") > 0, F.least("p", "total_pages")).otherwise(F.col("p")))
-    seq = rows.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "row_id", "page", "p"))).alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fixed = F.when(acc["last"].isNotNull() & (x["p"] - acc["last"] > jump), acc["last"] + 1).otherwise(x["p"])
-        return F.struct(fixed.alias("last"), F.concat(acc["out"], F.array(F.struct(x["row_id"].alias("row_id"), x["page"].alias("page"), fixed.alias("fixed")))).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<row_id:bigint,page:int,fixed:int>>").alias("out"))
-    folded = seq.select(F.aggregate("s", zero, step, lambda a: a["out"]).alias("out"))
-    return folded.select(F.explode("out").alias("o")).select("o.row_id", "o.page", "o.fixed")
+    rows = chunks.select("file_path", "chunk_id", F.col("row_id").cast("long").alias("row_id"), F.col("page").cast("int").alias("page")).join(totals.select("file_path", "total_pages"), "file_path", "left")
+    rows = rows.repartition("file_path").sortWithinPartitions("file_path", "chunk_id", "row_id").select("file_path", "row_id", "page", "total_pages")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, valid, last = object(), 1, None
+        for batch in batches:
+            out = []
+            for f, page, total in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if f != file:
+                    file, valid, last = f, 1, None
+                if page is not None and 1 <= page <= 50000:
+                    valid = page
+                p = min(valid, total) if total is not None and total > 0 else valid
+                last = last + 1 if last is not None and p - last > jump else p
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int32())], ["row_id", "page", "fixed"])
+
+    return rows.mapInArrow(run, "row_id bigint, page int, fixed int")
 
 
 def contiguous_runs(elements: DataFrame) -> DataFrame:
@@ -198,3 +206,16 @@ def citation_integrity(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     s = stored.select(F.col("name").alias("_f"), F.col("chunk_id").alias("_c"), "pages")
     state = F.when(F.col("pages").isNull(), "missing").when(F.array_contains("pages", F.col("page")), "same_page").otherwise("other_page")
     return c.join(s, (F.col("name") == F.col("_f")) & (F.col("chunk_id") == F.col("_c")), "left").groupBy(state.alias("state")).agg(F.sum("n").alias("n"))
+
+
+def file_pages(chunks: DataFrame) -> DataFrame:
+    """(file_path, page, n, single_page, lacks_page): chunks on each page of each file; whether the file has but one page, or chunks without one."""
+    per = chunks.where(F.col("file_path").isNotNull()).groupBy("file_path", "page").agg(F.count(F.lit(1)).alias("n"))
+    flags = per.groupBy("file_path").agg((F.count("page") == 1).alias("single_page"), (F.count_if(F.col("page").isNull()) > 0).alias("lacks_page"))
+    return per.join(flags, "file_path")
+
+
+def dry_run_totals(sieve: DataFrame, totals: DataFrame, max_pages: int = 60) -> DataFrame:
+    """(files, pages): how many scanned files of at most ``max_pages`` pages a run would take, and their pages; files without a total count no page."""
+    due = sieve.where("scanned").join(totals, "file_path", "left").where(F.coalesce("total_pages", F.lit(0)) <= max_pages)
+    return due.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("total_pages"), F.lit(0)).cast("long").alias("pages"))

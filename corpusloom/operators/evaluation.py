@@ -20,8 +20,10 @@ def page_refs(df: DataFrame, ref: str) -> DataFrame:
 def content_digest(elements: DataFrame) -> DataFrame:
     """(path, hash): a digest of the distinct (page, text) of each file, whatever their order; combined before the shuffle."""
     rows = elements.where(F.col("file_path").isNotNull()).select("file_path", "page", "text").distinct()
-    part = F.conv(F.substring(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("bigint")
-    return rows.groupBy(F.col("file_path").alias("path")).agg(F.concat_ws("-", F.sum(part).cast("string"), F.count(F.lit(1)).cast("string")).alias("hash"))
+    digest = F.sha2(F.encode(F.concat_ws("\x1f", F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), "UTF-8"), 256)
+    # The sums of the digests' four parts of sixty bits are the same in any order.
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return rows.groupBy(F.col("file_path").alias("path")).agg(F.concat_ws("-", *parts, F.count(F.lit(1)).cast("string")).alias("hash"))
 
 
 def alias_map(listing: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
@@ -77,6 +79,18 @@ def family(scores: DataFrame, ks: tuple[int, ...], by: list[str] | None = None)
     return (scores.groupBy(*by) if by else scores).agg(F.count(F.lit(1)).alias("n"), *means, F.round(F.avg("rr"), 4).alias("mrr"))
 
 
+def summary(cases: DataFrame, pages: DataFrame, files: DataFrame, aliases: DataFrame, tolerance: int = 1) -> DataFrame:
+    """One row: n, page_tolerance, duplicate_groups (distinct canonical names), and the scores of pages and of files under ``page_`` and ``file_``.
+
+    ``pages`` and ``files`` are hits (query_id, rank) of the two kinds.
+    """
+    of_pages = family(case_scores(cases, pages, PAGE_KS), PAGE_KS)
+    of_files = family(case_scores(cases, files, FILE_KS), FILE_KS).drop("n")
+    groups = aliases.agg(F.countDistinct("canonical").alias("duplicate_groups"))
+    both = of_pages.select("n", *[F.col(c).alias(f"page_{c}") for c in of_pages.columns[1:]]).crossJoin(of_files.select(*[F.col(c).alias(f"file_{c}") for c in of_files.columns]))
+    return both.crossJoin(groups).withColumn("page_tolerance", F.lit(tolerance))  # one row each
+
+
 def never_retrieved(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(file): truth files that no query of the run retrieved."""
     return truth.select("file").distinct().join(predicted.select("file").distinct(), "file", "left_anti")

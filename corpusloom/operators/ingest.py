@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.functions.text import collapse, normalised, token_estimate
+from corpusloom.functions.text import collapse, normalised, repaired, token_estimate
 from corpusloom.operators.incremental import latest_by
 
 #: Extractors in the order they are tried.
@@ -102,36 +103,24 @@ def split_by_tokens(text: str, max_tokens: int) -> list[str]:
 def pack_page(rows: list[tuple], max_tokens: int, min_chars: int) -> list[tuple]:
     """(page, type, source, text) of one page's elements in order, packed within the budget.
 
-    A chunk takes page, type and source of its first element; elements are joined by a blank line.
+    A chunk takes page, type and source of its first element; elements are joined by a blank line. With the
+    running sum of their tokens, each chunk ends at the last element within its start plus the budget, found by
+    bisection, or before the next element that exceeds the budget alone; that one is cut up by sentences.
     """
-    out, held, used, head = [], [], 0, None
-
-    def flush() -> None:
-        nonlocal held, used, head
-        text = "\n\n".join(held)
-        if len(text.strip()) >= min_chars:
-            out.append((*head, text))
-        held, used, head = [], 0, None
-
-    for page, kind, source, text in rows:
-        text = (text or "").strip()
-        if not text:
-            continue
-        cost = max(1, len(text) // 4)
-        if cost > max_tokens:
-            if held:
-                flush()
-            out += [(page, kind, source, t) for t in split_by_tokens(text, max_tokens) if len(t.strip()) >= min_chars]
-            continue
-        if held and used + cost > max_tokens:
-            flush()
-        if not held:
-            head = (page, kind, source)
-        held.append(text)
-        used += cost
-    if held:
-        flush()
-    return out
+    rows = [(*r[:3], t) for r in rows if (t := (r[3] or "").strip())]
+    total = np.concatenate([[0], np.cumsum([max(1, len(r[3]) // 4) for r in rows], dtype=np.int64)])
+    single = np.append(np.flatnonzero(np.diff(total) > max_tokens), len(rows))
+    chunks, at = [], 0
+    while at < len(rows):
+        wall = int(single[np.searchsorted(single, at)])
+        if wall == at:
+            chunks += [(*rows[at][:3], piece) for piece in split_by_tokens(rows[at][3], max_tokens)]
+            at += 1
+        else:
+            end = min(wall, int(np.searchsorted(total, total[at] + max_tokens, side="right")) - 1)
+            chunks.append((*rows[at][:3], "\n\n".join(r[3] for r in rows[at:end])))
+            at = end
+    return [c for c in chunks if len(c[3].strip()) >= min_chars]
 
 
 def token_chunks(elements: DataFrame, max_tokens: int = MAX_TOKENS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -143,8 +132,7 @@ def token_chunks(elements: DataFrame, max_tokens: int = MAX_TOKENS, min_chars: i
     clean = latest_by(elements.withColumn("page", F.coalesce("page", F.lit(1))), ["file_path", "elem_no"], [-F.col("element_id")], ["page", "type", "source", "text"])
 
     # Pages are far smaller than batches: one pass over sorted partitions, not one call per page.
-    n = clean.sparkSession.sparkContext.defaultParallelism * 3
-    rows = clean.select("file_path", "page", "elem_no", "type", "source", "text").repartition(n, "file_path", "page").sortWithinPartitions("file_path", "page", "elem_no")
+    rows = clean.select("file_path", "page", "elem_no", "type", "source", "text").repartition("file_path", "page").sortWithinPartitions("file_path", "page", "elem_no")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -168,6 +156,37 @@ def token_chunks(elements: DataFrame, max_tokens: int = MAX_TOKENS, min_chars: i
     return rows.mapInPandas(run, "file_path string, page int, type string, source string, seq int, text string")
 
 
+def structured_chunks(elements: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(file_path, page, type, source, seq, text): one chunk of each element that is no title, under the title before it on its page.
+
+    Texts shorter than ``min_chars``, title included, are dropped. A null page counts as page 1; elements delivered twice count once.
+    """
+    rows = latest_by(elements.withColumn("page", F.coalesce("page", F.lit(1))), ["file_path", "elem_no"], [-F.col("element_id")], ["page", "type", "source", "text"])
+    title = F.last(F.when(F.col("type") == "Title", F.trim("text")), True).over(W.partitionBy("file_path", "page").orderBy("elem_no"))
+    body = rows.withColumn("_title", title).where(~F.col("type").eqNullSafe("Title") & (F.length(F.trim("text")) > 0))
+    text = F.concat_ws("\n", F.when(F.col("_title") != "", F.col("_title")), F.trim("text"))
+    return body.select("file_path", "page", "type", "source", F.col("elem_no").alias("seq"), text.alias("text")).where(F.char_length("text") >= min_chars)
+
+
+def build_chunks(elements: DataFrame, extractions: DataFrame, max_tokens: int = MAX_TOKENS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(file_path, page, seq, type, source, is_table, text): the chunks of every file, in one pipeline.
+
+    Files with a structured extraction that yields chunks are chunked by structure, all others by token packing
+    after their boilerplate lines are stripped. Texts are repaired and only then, of those of a file that have
+    become equal up to letter case and white space, the first is kept. Elements without a file are left out.
+    """
+    known = elements.where(F.col("file_path").isNotNull())
+    shaped = extractions.where("has_structure").select("file_path").distinct()
+    structured = structured_chunks(known.join(shaped, "file_path", "left_semi"), min_chars)
+    rest = known.join(structured.select("file_path").distinct(), "file_path", "left_anti")
+    bare = strip_boilerplate(rest, boilerplate(rest)).select(F.col("element_id").alias("_id"), F.col("text").alias("_text"))
+    packed = token_chunks(rest.join(bare, F.col("element_id") == F.col("_id")).withColumn("text", F.col("_text")), max_tokens, min_chars)
+    made = structured.unionByName(packed).withColumn("text", repaired(F.col("text"))["text"])
+    place = F.struct("page", "seq", "type", "source", "text")
+    firsts = made.groupBy("file_path", F.sha1(F.encode(normalised(F.col("text")), "UTF-8")).alias("_h")).agg(F.min(place).alias("v"))
+    return firsts.select("file_path", "v.page", "v.seq", "v.type", "v.source", F.coalesce(F.col("v.type") == "Table", F.lit(False)).alias("is_table"), "v.text")
+
+
 def numbered(chunks: DataFrame) -> DataFrame:
     """Chunks with their 0-based order in the file."""
     order = F.row_number().over(W.partitionBy("file_path").orderBy("page", "seq")) - 1

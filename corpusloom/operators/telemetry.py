@@ -232,3 +232,35 @@ def missing_collections(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     has = chunks.where(F.col("topic").isNotNull()).select(F.col("topic").alias("_t")).distinct()
     asked = rows.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.count(F.lit(1)).alias("requests"))
     return asked.join(has, F.col("topic") == F.col("_t"), "left").select("topic", "requests", F.col("_t").isNull().alias("missing_collection"))
+
+
+def scan_counters(decisions: DataFrame) -> DataFrame:
+    """(processed, skipped, errors): what a scan does with its files; quarantined ones are errors."""
+    d = F.col("decision")
+    return decisions.agg(F.count_if(d.isin("process", "retry", "changed")).alias("processed"), F.count_if(d == "skip").alias("skipped"), F.count_if(d == "quarantine").alias("errors"))
+
+
+def reset_failed(state: DataFrame) -> DataFrame:
+    """``state`` with all failure counts at zero, and ``was_reset`` for those that were above; their number is what the command reports."""
+    return state.withColumn("was_reset", F.coalesce(F.col("retries") > 0, F.lit(False))).withColumn("retries", F.lit(0))
+
+
+def remove_file(state: DataFrame, path: str) -> DataFrame:
+    """The state without one path, whatever its status; a path that isn't there changes nothing."""
+    return state.where(~F.col("path").eqNullSafe(path))
+
+
+def remove_topic(state: DataFrame, topic: str, folder: str) -> DataFrame:
+    """The state without a topic: processed files by their topic, failed ones by the topic's folder in their path, as the reference does."""
+    gone = F.when(F.col("status") == "success", F.col("topic").eqNullSafe(topic)).when(F.col("status") == "failed", F.col("path").contains(f"{folder}/{topic}")).otherwise(False)
+    return state.where(~F.coalesce(gone, F.lit(False)))
+
+
+def consume_inflight(begun: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, context, counts): attempts in flight that a restart finds, the latest of each path; ``counts`` if it becomes a failed attempt.
+
+    ``begun`` is (path, context, at). A path that has since succeeded is consumed without one.
+    """
+    last = begun.where(F.col("path").isNotNull()).groupBy("path").agg(F.max_by("context", F.struct("at", "context")).alias("context"))
+    s = state.select(F.col("path").alias("_p"), F.col("status").alias("_s"))
+    return last.join(s, F.col("path") == F.col("_p"), "left").select("path", "context", (~F.col("_s").eqNullSafe("success")).alias("counts"))

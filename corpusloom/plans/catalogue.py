@@ -17,7 +17,7 @@ from corpusloom.operators import ingest as G
 from corpusloom.operators import search as S
 from corpusloom.operators import skewed_keys as K
 from corpusloom.operators import telemetry as T
-from corpusloom.session import table
+from corpusloom.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,8 +109,34 @@ def heading_paths(s, d):
 
 
 def embed_inputs(s, d):
+    """The inputs of three models: a plain e5, one that takes instructions, and one of another family."""
     q = F.col("query")
-    return retrievals(s, d).where("query IS NOT NULL").select("retrieval_id", F.concat(F.lit("query: "), q).alias("plain"), F.concat(F.lit("Instruct: Retrieve passages that answer the question\nQuery: "), q).alias("instructed"))
+    models = {"plain": "multilingual-E5-base", "instructed": "multilingual-e5-large-instruct", "bare": "gte-large"}
+    return retrievals(s, d).where("query IS NOT NULL").select("retrieval_id", *[X.embed_query(q, F.lit(m)).alias(n) for n, m in models.items()])
+
+
+def passage_inputs(s, d):
+    t = F.col("text")
+    return chunks(s, d).where("text IS NOT NULL").select("row_id", X.embed_passage(t, F.lit("multilingual-e5-base")).alias("plain"), X.embed_passage(t, F.lit("e5-large-instruct")).alias("instructed"))
+
+
+def context_limits(s, d):
+    return retrievals(s, d).select("retrieval_id", X.context_limit(F.col("generative")).alias("tokens"))
+
+
+def collection_names(s, d):
+    return retrievals(s, d).where("topic IS NOT NULL").select("topic").distinct().select("topic", X.collection_name(F.col("topic"), "_v2").alias("collection"))
+
+
+def text_repair(s, d):
+    r = X.repaired(F.col("text"))
+    return elements(s, d).where("text IS NOT NULL").select("element_id", r.alias("r")).select("element_id", "r.text", "r.glyph_decimal", "r.standard_encoding", "r.unrecoverable")
+
+
+def repair_totals(s, d):
+    """Over each file's elements: what was repaired, how many texts changed and how many hold what can't be repaired."""
+    rows = elements(s, d).where("text IS NOT NULL").select("file_path", "text", X.repaired(F.col("text")).alias("r"))
+    return rows.groupBy("file_path").agg(F.sum("r.glyph_decimal").alias("glyphs"), F.sum("r.standard_encoding").alias("letters"), F.count_if(F.col("r.text") != F.col("text")).alias("touched"), F.count_if(F.col("r.unrecoverable") > 0).alias("lost"))
 
 
 def error_cut(s, d):
@@ -276,6 +302,40 @@ def chunk_totals(s, d):
     return G.chunk_totals(elements(s, d))
 
 
+def build_chunks(s, d):
+    return G.build_chunks(elements(s, d), extractions(s, d))
+
+
+def structured_chunks(s, d):
+    return G.structured_chunks(elements(s, d))
+
+
+def scan_counters(s, d):
+    return T.scan_counters(incremental_scan(s, d))
+
+
+def reset_failed(s, d):
+    return T.reset_failed(T.current_state(file_state(s, d))).select("path", "retries", "was_reset")
+
+
+def remove_topic(s, d):
+    return T.remove_topic(T.current_state(file_state(s, d)), "Algoritmia", "topics").select("path", "status")
+
+
+def consume_inflight(s, d):
+    """Attempts of the log that stand in 'processing' as what was in flight."""
+    begun = T.attempts(file_state(s, d)).where("status = 'processing'").select("path", F.col("topic").alias("context"), F.struct("at", "logged_at", "state_id").alias("at"))
+    return T.consume_inflight(begun, T.current_state(file_state(s, d)))
+
+
+def file_pages(s, d):
+    return A.file_pages(chunks(s, d))
+
+
+def dry_run_totals(s, d):
+    return A.dry_run_totals(A.scanned_sieve(elements(s, d)), A.total_pages(extractions(s, d)))
+
+
 def incremental_scan(s, d):
     listing = I.latest_by(file_listing(s, d), ["path"], [F.col("seen_at"), F.col("listing_id")], ["hash"])
     return T.scan_decision(listing, T.current_state(file_state(s, d)))
@@ -343,9 +403,18 @@ def eval_files(s, d):
     return E.family(E.case_scores(golden(s, d).select(F.col("item_id").alias("query_id")), hits, E.FILE_KS), E.FILE_KS)
 
 
+def eval_summary(s, d):
+    alias = cut(E.alias_map(E.content_digest(elements(s, d))))
+    run, truth = cut(E.canonical(_run(s, d), alias)), cut(E.canonical(_truth(s, d), alias))
+    pages = E.ordered(run, ["file", "page"]).withColumn("ref", F.concat_ws("#", "file", F.coalesce(F.col("page").cast("string"), F.lit("?"))))
+    files = E.ordered(run.select("query_id", "file", "rank"), ["file"])
+    cases = golden(s, d).select(F.col("item_id").alias("query_id"))
+    return E.summary(cases, E.page_hits(pages, truth), E.file_hits(files, truth), alias)
+
+
 def eval_warnings(s, d):
     alias = E.alias_map(E.content_digest(elements(s, d)))
-    return E.never_retrieved(E.canonical(_truth(s, d), alias), E.canonical(_run(s, d, 1), alias))
+    return E.never_retrieved(E.canonical(_truth(s, d), alias), E.canonical(_run(s, d), alias))
 
 
 def weighted_mrr(s, d):
@@ -568,7 +637,9 @@ extractor_mix missing_extractor_files reingest_targets file_diversity points_per
 page_sequence_fix contiguous_runs page_by_height legibility_by_source reader_comparison topic_stats latency_summary short_queries seeded_sample
 middle_page arm_summary arm_topic_counts arm_mode_counts dormant_arms since_filter monthly_retention quarantine latest_state crash_counter
 interruptions hard_death kill_attribution state_stats unknown_topics last_user_message topic_resolve generative_flag request_dedupe
-telemetry_tail stale_gaps scanned_sieve table_shapes citation_integrity short_golden truth_union missing_collections ocr_retries result_counts""".split()
+telemetry_tail stale_gaps scanned_sieve table_shapes citation_integrity short_golden truth_union missing_collections ocr_retries result_counts
+text_repair repair_totals passage_inputs context_limits collection_names eval_summary build_chunks structured_chunks scan_counters reset_failed remove_topic consume_inflight
+file_pages dry_run_totals""".split()
 
 
 def queries() -> dict[str, Query]:

@@ -140,6 +140,30 @@ spot AS (SELECT element_id, x.file_path, x.page, en.s + x.bbox[2] AS y FROM elem
 PER_REQUEST = f"CASE {' '.join(f'WHEN lower(topic) LIKE {chr(39)}%{s}{chr(39)} THEN left(topic, length(topic) - {len(s)})' for s in SUFFIXES)} ELSE topic END"
 MAPPED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in MAPPING.items()) + "}"
 
+_L = "[A-Za-zÀ-ÿ]"
+#: Letters beside a letter are marked by a control character; overlapping ones take a pass each.
+_BEHIND = f"regexp_replace({{0}}, '({_L})([ÆØœæŒ])', '\\1' || chr(1) || '\\2', 'g')"
+_AHEAD = f"regexp_replace({{0}}, '(^|[^' || chr(1) || '])([ÆØœæŒ])(' || chr(1) || '?{_L})', '\\1' || chr(1) || '\\2\\3', 'g')"
+
+
+def _marked(c: str) -> str:
+    for _ in range(4):
+        c = _BEHIND.format(c)
+    for _ in range(4):
+        c = _AHEAD.format(c)
+    return f"replace({c}, chr(1) || chr(1), chr(1))"
+
+
+_CP1252 = "[" + ", ".join(f"'{bytes([c]).decode('cp1252', 'ignore')}'" for c in range(128, 160)) + "]"
+_CODE = "regexp_extract(p, '^([0-9]{1,7})>', 1)::INTEGER"
+REPAIRED = f"""WITH g0 AS (SELECT element_id, file_path, text AS was, string_split(text, 'GLYPH<') AS ps FROM elements WHERE text IS NOT NULL),
+g1 AS (SELECT element_id, file_path, was, ps[1] AS first, list_transform(ps[2:], lambda p: CASE WHEN NOT regexp_matches(p, '^[0-9]{{1,7}}>') THEN {{'n': 0, 't': 'GLYPH<' || p}}
+WHEN {_CODE} > 1114111 OR {_CODE} BETWEEN 55296 AND 57343 THEN {{'n': 0, 't': 'GLYPH<' || p}}
+ELSE {{'n': 1, 't': CASE WHEN {_CODE} < 32 OR {_CODE} = 127 THEN '' WHEN {_CODE} BETWEEN 128 AND 159 THEN {_CP1252}[{_CODE} - 127] ELSE chr({_CODE}) END || regexp_replace(p, '^[0-9]+>', '')}} END) AS ts FROM g0),
+g2 AS (SELECT element_id, file_path, was, {_marked("(replace(first, chr(1), '') || array_to_string(list_transform(ts, lambda x: replace(x.t, chr(1), '')), ''))")} AS m, coalesce(list_sum(list_transform(ts, lambda x: x.n)), 0)::BIGINT AS glyph_decimal FROM g1),
+repaired AS (SELECT element_id, file_path, was, replace(replace(replace(replace(replace(m, chr(1) || 'Æ', 'á'), chr(1) || 'Ø', 'é'), chr(1) || 'œ', 'ú'), chr(1) || 'æ', 'ñ'), chr(1) || 'Œ', 'Í') AS text, glyph_decimal,
+(length(m) - length(replace(m, chr(1), '')))::BIGINT AS standard_encoding, len(regexp_extract_all(was, 'GLYPH<c=[0-9]+,font=[^>]*>'))::BIGINT AS unrecoverable FROM g2)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": f"""WITH s AS (SELECT nfc_normalize(path) AS k, nullif(lower(trim(hash)), '') AS h, {AT} AS tried, logged_at, state_id FROM file_state WHERE status = 'success' AND path IS NOT NULL),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tried DESC NULLS LAST, logged_at DESC, state_id DESC) AS n FROM s) WHERE n = 1),
@@ -175,7 +199,19 @@ FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_resize(embedding[1:40]::
     "citation_urls": f"SELECT row_id, {URL} AS url, '[' || {BASE} || ', p.' || page || '](' || {URL} || ')' AS label FROM chunks WHERE page IS NOT NULL",
     "user_hashes": "SELECT DISTINCT user_id, left(sha256('user' || user_id || '@example.org'), 12) AS user_hash FROM events",
     "heading_paths": "SELECT row_id, CASE WHEN headings IS NULL THEN NULL ELSE coalesce(array_to_string(headings, ' > '), '') END AS heading_path FROM chunks",
-    "embed_inputs": "SELECT retrieval_id, 'query: ' || query AS plain, 'Instruct: Retrieve passages that answer the question' || chr(10) || 'Query: ' || query AS instructed FROM retrievals WHERE query IS NOT NULL",
+    "embed_inputs": "SELECT retrieval_id, 'query: ' || query AS plain, 'Instruct: Retrieve relevant documents' || chr(10) || 'Query: ' || query AS instructed, query AS bare FROM retrievals WHERE query IS NOT NULL",
+    "passage_inputs": "SELECT row_id, 'passage: ' || text AS plain, text AS instructed FROM chunks WHERE text IS NOT NULL",
+    "context_limits": "SELECT retrieval_id, CASE WHEN coalesce(generative, false) THEN 12000 ELSE 6000 END AS tokens FROM retrievals",
+    "collection_names": "SELECT DISTINCT topic, 'rag_' || lower(topic) || '_v2' AS collection FROM retrievals WHERE topic IS NOT NULL",
+    "text_repair": f"{REPAIRED} SELECT element_id, text, glyph_decimal, standard_encoding, unrecoverable FROM repaired",
+    "repair_totals": f"{REPAIRED} SELECT file_path, sum(glyph_decimal)::BIGINT AS glyphs, sum(standard_encoding)::BIGINT AS letters, count(*) FILTER (text <> was) AS touched, count(*) FILTER (unrecoverable > 0) AS lost FROM repaired GROUP BY file_path",
+    "structured_chunks": """WITH o AS (SELECT *, coalesce(page, 1) AS pg FROM elements QUALIFY row_number() OVER (PARTITION BY file_path, elem_no ORDER BY element_id) = 1),
+t AS (SELECT *, last_value(CASE WHEN type = 'Title' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY file_path, pg ORDER BY elem_no) AS ti FROM o),
+c AS (SELECT file_path, pg AS page, type, source, elem_no AS seq, CASE WHEN ti <> '' THEN ti || chr(10) ELSE '' END || trim(text) AS text FROM t WHERE type IS DISTINCT FROM 'Title' AND length(trim(text)) > 0) SELECT * FROM c WHERE length(text) >= 40""",
+    "file_pages": """WITH p AS (SELECT file_path, page, count(*) AS n FROM chunks WHERE file_path IS NOT NULL GROUP BY ALL)
+SELECT file_path, page, n, count(page) OVER w = 1 AS single_page, count(*) FILTER (page IS NULL) OVER w > 0 AS lacks_page FROM p WINDOW w AS (PARTITION BY file_path)""",
+    "dry_run_totals": """WITH z AS (SELECT file_path FROM elements WHERE file_path IS NOT NULL GROUP BY 1 HAVING sum(CASE WHEN page <= 10 THEN coalesce(length(text), 0) ELSE 0 END) < 200),
+p AS (SELECT file_path, max(total_pages) AS t FROM extractions WHERE total_pages IS NOT NULL GROUP BY 1) SELECT count(*) AS files, coalesce(sum(t), 0)::BIGINT AS pages FROM z LEFT JOIN p USING (file_path) WHERE coalesce(t, 0) <= 60""",
     "error_cut": "SELECT state_id, left(error, 12) AS short, coalesce(hash, '?') || '-' || left(sha1(status), 8) AS cache_key FROM file_state WHERE error IS NOT NULL",
     "legibility": f"SELECT element_id, round(({LEGIBLE})::DOUBLE, 4) AS legibility FROM elements WHERE text IS NOT NULL",
     "ref_split": f"SELECT item_id, {name('r')} AS file, try_cast(list_extract(string_split(r, '#'), -1) AS INTEGER) AS page FROM (SELECT item_id, unnest(relevant_pages) AS r FROM golden_cases)",
@@ -224,7 +260,7 @@ SELECT li.path, CASE WHEN cur.path IS NULL THEN 'process' WHEN status = 'failed'
     "eval_files": f"""WITH {GOLDEN_RUN}, {ALIAS}, {TRUTH}, pc AS (SELECT query_id, coalesce(canonical, run.file) AS file, min(rank) AS r FROM run LEFT JOIN al ON al.file = run.file GROUP BY 1, 2),
 pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, file) AS rank FROM pc), h AS (SELECT query_id, min(rank) AS f FROM pr WHERE EXISTS (SELECT 1 FROM trc t WHERE t.query_id = pr.query_id AND t.file = pr.file) GROUP BY query_id)
 SELECT {fam((1, 3, 5))} FROM golden_cases LEFT JOIN h ON h.query_id = item_id""",
-    "eval_warnings": f"WITH {GOLDEN_RUN}, {ALIAS}, {TRUTH} SELECT DISTINCT file FROM trc WHERE file NOT IN (SELECT coalesce(canonical, run.file) FROM run LEFT JOIN al ON al.file = run.file WHERE rank = 1)",
+    "eval_warnings": f"WITH {GOLDEN_RUN}, {ALIAS}, {TRUTH} SELECT DISTINCT file FROM trc WHERE file NOT IN (SELECT coalesce(canonical, run.file) FROM run LEFT JOIN al ON al.file = run.file)",
     "weighted_mrr": f"{EVAL}, bt AS ({BY_TOPIC}) SELECT coalesce(topic, 'total') AS label, round(sum(mrr * n) / sum(n), 4) AS mrr FROM bt WHERE topic <> 'Laboratorio' GROUP BY GROUPING SETS ((topic), ())",
     "run_compare": f"""{EVAL}, bt AS ({BY_TOPIC}), s3 AS (SELECT g.topic, m.f FROM golden_cases g LEFT JOIN (SELECT query_id, min(rank) AS f FROM pm WHERE rank <= 3 GROUP BY ALL) m ON m.query_id = g.item_id), b3 AS (SELECT topic, round(avg(coalesce(1.0::DOUBLE / f, 0)), 4) AS mrr FROM s3 GROUP BY topic)
 SELECT coalesce(b3.topic, bt.topic) AS topic, b3.mrr AS mrr_a, bt.mrr AS mrr_b, round(bt.mrr - b3.mrr, 4) AS delta, CASE WHEN b3.topic IS NULL THEN 'only_b' WHEN bt.topic IS NULL THEN 'only_a' ELSE 'both' END AS state FROM b3 FULL JOIN bt ON b3.topic = bt.topic""",
@@ -257,6 +293,11 @@ count(*) FILTER (translated_query IS NOT NULL AND translated_query <> query) AS
     "dormant_arms": "SELECT arm, days FROM (SELECT user_id::VARCHAR AS arm, floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 86400000000)::BIGINT AS days FROM events GROUP BY user_id) WHERE days >= 1",
     "since_filter": "SELECT retrieval_id, ts FROM retrievals WHERE coalesce(ts, 1760000000000) >= 1760000000000",
     "monthly_retention": "SELECT strftime(logged_at, '%Y-%m') AS month, count(*) AS n, date_diff('day', max(logged_at)::DATE, DATE '2025-11-15') <= 31 AS keep FROM retrievals WHERE logged_at IS NOT NULL GROUP BY 1",
+    "scan_counters": f"""WITH {CURRENT}, li AS (SELECT * FROM (SELECT path, lower(trim(hash)) AS h, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, listing_id DESC) AS k FROM file_listing) WHERE k = 1),
+x AS (SELECT status = 'failed' AND retries >= 3 AS bad, cur.path IS NULL OR status IN ('failed', 'processing') OR (h IS NOT NULL AND h <> coalesce(lower(trim(cur.hash)), '')) AS due FROM li LEFT JOIN cur USING (path))
+SELECT count(*) FILTER (due AND NOT coalesce(bad, false)) AS processed, count(*) FILTER (NOT due) AS skipped, count(*) FILTER (bad) AS errors FROM x""",
+    "reset_failed": f"WITH {CURRENT} SELECT path, 0 AS retries, retries > 0 AS was_reset FROM cur",
+    "remove_topic": f"WITH {CURRENT} SELECT path, status FROM cur WHERE NOT coalesce(CASE status WHEN 'success' THEN topic = 'Algoritmia' WHEN 'failed' THEN contains(path, 'topics/Algoritmia') ELSE false END, false)",
     "quarantine": f"WITH {CURRENT} SELECT path, retries, retries >= 3 AS quarantined FROM cur WHERE status = 'failed'",
     "latest_state": f"WITH {CURRENT} SELECT path, status, hash, retries FROM cur",
     "interruptions": "SELECT path, count(*) FILTER (lower(coalesce(error, '')) LIKE '%interrump%') AS interruptions, count(*) FILTER (NOT lower(coalesce(error, '')) LIKE '%interrump%') AS other_failures FROM file_state WHERE status = 'failed' AND path IS NOT NULL GROUP BY path",
