@@ -64,10 +64,24 @@ def page_gaps(chunks: DataFrame, gap: int = 10) -> DataFrame:
     return pages.withColumn("page_from", prev).where(F.col("page") - F.col("page_from") > gap).select("file_path", "page_from", F.col("page").alias("page_to"))
 
 
+def with_previous(rows: DataFrame, key: str, place: str, tie: str, value: str, span: int = 4096) -> DataFrame:
+    """``rows`` with ``prev``, the value of the row before in order of (place, tie) within the key.
+
+    A key's rows are windowed in blocks of ``span`` places; a block's first row takes the last value of the block before, so that a key with
+    a large share of all rows is not one task's. A null place comes first, as in an ascending order.
+    """
+    block = rows.withColumn("_block", F.coalesce(F.floor(F.col(place) / span), F.lit(-(1 << 40))))
+    of = W.partitionBy(key, "_block").orderBy(place, tie)
+    inner = block.withColumn("prev", F.lag(value).over(of)).withColumn("_first", F.row_number().over(of) == 1)
+    ends = block.groupBy(key, "_block").agg(F.max_by(F.struct(value), F.struct(place, tie)).alias("_v"))
+    carried = ends.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.lag("_v").over(W.partitionBy(key).orderBy("_block")).alias("_carry"))
+    out = inner.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
+    return out.withColumn("prev", F.when(F.col("_first"), F.col("_carry")[value]).otherwise(F.col("prev"))).drop("_block", "_first", "_k", "_b", "_carry")
+
+
 def page_issues(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     """(file_path, kind, n): chunks with an invalid page, a page beyond the total, or one below the chunk's before."""
-    w = W.partitionBy("file_path").orderBy("chunk_id", "row_id")
-    rows = chunks.select("file_path", "row_id", "chunk_id", "page").withColumn("prev", F.lag("page").over(w)).join(totals.select("file_path", "total_pages"), "file_path", "left")
+    rows = with_previous(chunks.select("file_path", "row_id", "chunk_id", "page"), "file_path", "chunk_id", "row_id", "page").join(totals.select("file_path", "total_pages"), "file_path", "left")
     kinds = F.array(
         F.when(F.col("page").isNull() | (F.col("page") < 1) | (F.col("page") > 50000), "invalid"),
         F.when(F.col("page") > F.col("total_pages"), "overflow"),
@@ -119,19 +133,24 @@ def page_geometry(elements: DataFrame) -> DataFrame:
     return boxes.groupBy("file_path", "page").agg(F.min("y0").alias("text_top"), F.max("y1").alias("text_bottom")).withColumn("height", F.greatest(F.col("text_bottom"), F.lit(1.0)))
 
 
+#: Height of the bands under which positions meet pages: about a page's.
+BAND = 1000.0
+
+
 def page_by_height(elements: DataFrame) -> DataFrame:
     """(element_id, page, placed): the page that holds the element's absolute position, by running page heights.
 
     Position = heights of the pages before plus the box's top. Positions past the end fall on the last page.
-    The interval join is on the file, with the interval as residual, and per file a page matches once.
+    Both sides of the interval join meet under a band of heights, which a page overlaps in few, and a position lies in one.
     """
     geom = page_geometry(elements)
     w = W.partitionBy("file_path").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     run = geom.withColumn("start", F.coalesce(F.sum("height").over(w), F.lit(0.0))).withColumn("end", F.col("start") + F.col("height"))
     last = run.groupBy("file_path").agg(F.max("page").alias("last_page"))
     at = elements.where((F.size("bbox") == 4) & (F.col("page") > 0)).join(run.select("file_path", "page", "start"), ["file_path", "page"]).select("file_path", "element_id", "page", (F.col("start") + F.col("bbox")[1]).alias("y"))
-    r = run.select(F.col("file_path").alias("_f"), F.col("page").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = at.join(r, (F.col("file_path") == F.col("_f")) & (F.col("y") >= F.col("_s")) & (F.col("y") < F.col("_e")), "left")
+    bands = F.explode(F.sequence(F.floor(F.col("start") / BAND), F.floor(F.col("end") / BAND)))
+    r = run.select(F.col("file_path").alias("_f"), F.col("page").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"), bands.alias("_b"))
+    hit = at.join(r, (F.col("file_path") == F.col("_f")) & (F.floor(F.col("y") / BAND) == F.col("_b")) & (F.col("y") >= F.col("_s")) & (F.col("y") < F.col("_e")), "left")
     return hit.join(last, "file_path").select("element_id", "page", F.coalesce("_p", "last_page").alias("placed"))
 
 

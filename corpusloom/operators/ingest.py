@@ -188,9 +188,12 @@ def build_chunks(elements: DataFrame, extractions: DataFrame, max_tokens: int =
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks with their 0-based order in the file."""
-    order = F.row_number().over(W.partitionBy("file_path").orderBy("page", "seq")) - 1
-    return chunks.withColumn("chunk_id", order.cast("int"))
+    """Chunks with their 0-based order in the file: their place on the page, ``seq``, after all chunks of the pages before."""
+    per = chunks.groupBy("file_path", "page").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file_path").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = per.select(F.col("file_path").alias("_f"), F.col("page").alias("_p"), before.alias("_start"))
+    out = chunks.join(starts, F.col("file_path").eqNullSafe(F.col("_f")) & F.col("page").eqNullSafe(F.col("_p")))
+    return out.withColumn("chunk_id", (F.col("_start") + F.col("seq")).cast("int")).drop("_f", "_p", "_start")
 
 
 def sentence_pieces(df: DataFrame, key: str, text: str, max_tokens: int) -> DataFrame:
