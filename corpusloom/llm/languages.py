@@ -35,14 +35,16 @@ MIN_CONFIDENCE = 0.85
 
 # Names of languages in label notations, by code.
 NAMES = {
-    "es": "es spa esp espanol castellano spanish espagnol spanisch espanhol castilian hispanica",
-    "en": "en eng english ingles anglais englisch inglese anglica",
-    "fr": "fr fra fre french frances francais franzosisch francese gallica",
-    "de": "de deu ger german aleman allemand deutsch alemao tedesco",
-    "pt": "pt por portuguese portugues portugais portugiesisch portoghese",
-    "la": "la lat latin latina latein latim latino",
+    "es": ("es", "spa", "esp", "espanol", "castellano", "spanish", "espagnol", "spanisch", "espanhol", "castilian", "hispanica"),
+    "en": ("en", "eng", "english", "ingles", "anglais", "englisch", "inglese", "anglica"),
+    "fr": ("fr", "fra", "fre", "french", "frances", "francais", "franzosisch", "francese", "gallica"),
+    "de": ("de", "deu", "ger", "german", "aleman", "allemand", "deutsch", "alemao", "tedesco"),
+    "pt": ("pt", "por", "portuguese", "portugues", "portugais", "portugiesisch", "portoghese"),
+    "la": ("la", "lat", "latin", "latina", "latein", "latim", "latino"),
 }
-UNUSABLE = frozenset("unknown und auto undefined undetermined none null nan na mul mis zxx xx desconocido otro other".split())
+UNUSABLE = frozenset((
+    "unknown", "und", "auto", "undefined", "undetermined", "none", "null", "nan", "na", "mul", "mis", "zxx", "xx", "desconocido", "otro", "other",
+))
 
 
 def label_language(label: Column) -> Column:
@@ -51,7 +53,7 @@ def label_language(label: Column) -> Column:
     word = F.regexp_extract(folded, "^([a-z]+)", 1)
     code = F.lit(None).cast("string")
     for lang, names in NAMES.items():
-        code = F.when(word.isin(names.split()), lang).otherwise(code)
+        code = F.when(word.isin(*names), lang).otherwise(code)
     return F.when(word.isin(*UNUSABLE) | (word == ""), None).otherwise(F.coalesce(code, word))
 
 

@@ -44,9 +44,11 @@ EDGE_LINES = 3
 SCAN_SOURCES = ("easyocr", "tesseract")
 
 # Fixed values: (as recognised, as printed).
-CONFUSIONS = tuple(
-    tuple(p.split(">"))
-    for p in "0>o 1>l 1>i 5>s 6>ó 6>é 6>o 6>b 8>b 9>g 2>z c>e e>c l>i i>l l>í l>t í>l h>b b>h ii>u u>ii ri>n n>ri rn>m m>rn d>ci ci>d d>cl cl>d vv>w w>vv fi>ñ 11>ll n>u u>n f>t t>f o>c c>o li>h nn>m y>v v>y q>g g>q".split()
+CONFUSIONS = (
+    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "ó"), ("6", "é"), ("6", "o"), ("6", "b"), ("8", "b"), ("9", "g"), ("2", "z"), ("c", "e"),
+    ("e", "c"), ("l", "i"), ("i", "l"), ("l", "í"), ("l", "t"), ("í", "l"), ("h", "b"), ("b", "h"), ("ii", "u"), ("u", "ii"), ("ri", "n"),
+    ("n", "ri"), ("rn", "m"), ("m", "rn"), ("d", "ci"), ("ci", "d"), ("d", "cl"), ("cl", "d"), ("vv", "w"), ("w", "vv"), ("fi", "ñ"), ("11", "ll"),
+    ("n", "u"), ("u", "n"), ("f", "t"), ("t", "f"), ("o", "c"), ("c", "o"), ("li", "h"), ("nn", "m"), ("y", "v"), ("v", "y"), ("q", "g"), ("g", "q"),
 )
 HYPHENS = "‐‑–¬\xad-"
 _BREAK = re.compile(rf"(?<![\w{HYPHENS}])([^\W_]+)[{HYPHENS}][ \t]*$")

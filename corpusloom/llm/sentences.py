@@ -25,12 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.session import spread, table
 
 # Abbreviations after which a sentence runs on before a name or a number.
-TITLES = frozenset(
-    "sr sra srta dr dra d dña prof profa mr mrs ms m mme mlle mm mgr hr hrn fr st sto sta ing lic univ vgl vs approx ca ej ex bzw gov capt col gen lt sgt rev hon sen maj cmdr adm cpl pres supt"
-    " gral tte cnel excmo excma ilmo ilma exmo exma avda dipl inkl zzgl bzgl ggf evtl sog".split()
-)
-COUNTERS = frozenset("p pp pág págs art arts fig figs abb núm nº no nr n s cap caps vol vols sec tab eq ec min tel apdo bd kap e g i q ch al z usw u".split())
-MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
+TITLES = frozenset((
+    "sr", "sra", "srta", "dr", "dra", "d", "dña", "prof", "profa", "mr", "mrs", "ms", "m", "mme", "mlle", "mm", "mgr", "hr", "hrn", "fr", "st",
+    "sto", "sta", "ing", "lic", "univ", "vgl", "vs", "approx", "ca", "ej", "ex", "bzw", "gov", "capt", "col", "gen", "lt", "sgt", "rev", "hon",
+    "sen", "maj", "cmdr", "adm", "cpl", "pres", "supt", "gral", "tte", "cnel", "excmo", "excma", "ilmo", "ilma", "exmo", "exma", "avda", "dipl",
+    "inkl", "zzgl", "bzgl", "ggf", "evtl", "sog",
+))
+COUNTERS = frozenset((
+    "p", "pp", "pág", "págs", "art", "arts", "fig", "figs", "abb", "núm", "nº", "no", "nr", "n", "s", "cap", "caps", "vol", "vols", "sec", "tab",
+    "eq", "ec", "min", "tel", "apdo", "bd", "kap", "e", "g", "i", "q", "ch", "al", "z", "usw", "u",
+))
+MONTHS = frozenset((
+    "januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember",
+))
 # Function words around gaps in scripts without spaces.
 QUOTATIVES = ("という", "といい", "と言", "と述", "と話", "って", "とか", "と", "、", "，", "的", "地")
 FINALS = ("ました", "ません", "でした", "ください", "です", "ます", "だ", "か", "ね", "よ", "吗", "呢", "吧", "了", "ครับ", "ค่ะ", "คะ", "นะ")
