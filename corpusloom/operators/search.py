@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions.text import FUNCTION_WORDS, citation_label, citation_url, sanitised_query, token_estimate, words
 from corpusloom.functions.unicode import base_name
-from corpusloom.session import spread
+from corpusloom.session import cut, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query terms, or query vectors of one block, that are sent to every task at most.
@@ -47,11 +47,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, key: str = "row_id", text:
         terms = F.broadcast(terms)
     docs = spread(docs.select(group, key, text), key)
     w = docs.select(F.col(group).alias("topic"), F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    stats = w.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    stats = cut(w.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")))
     hit = w.select("topic", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, ["topic", "term"], "left_semi")
     post = hit.groupBy("topic", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = post.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats), "topic").select("topic", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.join(F.broadcast(stats) if stats.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else stats, "topic").select("topic", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighted = post.join(idf, ["topic", "term"]).select("topic", "term", "doc_id", weight.alias("wt"))
     scores = q.join(weighted, ["topic", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("wt"), 4).alias("score"))
@@ -90,7 +90,7 @@ def _best(ids: np.ndarray, vecs: list[np.ndarray], k: int):
         best: dict[int, list[list[tuple[float, int]]]] = {d: [[] for _ in own] for d, (own, _) in asked.items()}
         for batch in batches:
             col = batch.column(1)
-            lengths = np.array([-1 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()])
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(col), -1).to_numpy(zero_copy_only=False)
             for dim, (own, q) in asked.items():
                 keep = np.flatnonzero(lengths == dim)
                 if not len(keep):
@@ -100,7 +100,9 @@ def _best(ids: np.ndarray, vecs: list[np.ndarray], k: int):
                 doc = batch.column(0).to_numpy(zero_copy_only=False)[keep].astype(np.int64)
                 s = np.round(q @ m.T, 6)
                 for j in range(len(own)):
-                    order = np.lexsort((doc, -s[j]))[: k + 1]
+                    # All that reach the score of place k + 1, ties included; only these are sorted.
+                    few = np.flatnonzero(s[j] >= np.partition(s[j], -k - 1)[-k - 1]) if len(doc) > k + 1 else np.arange(len(doc))
+                    order = few[np.lexsort((doc[few], -s[j, few]))][: k + 1]
                     got = [(-s[j, i], int(doc[i])) for i in order if doc[i] != own[j]][:k]
                     best[dim][j] = sorted(best[dim][j] + got)[:k]
         flat = [(int(i), d, -c) for dim, (own, _) in asked.items() for i, b in zip(own, best[dim]) for c, d in b]
