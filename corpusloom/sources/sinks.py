@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +14,32 @@ def append_telemetry(rows: DataFrame, root: str) -> None:
     rows.withColumn("month", month).write.mode("append").partitionBy("month").json(root)
 
 
-def purge_months(spark: SparkSession, root: str, keep: int, newest: str) -> list[str]:
-    """Delete the months before the last ``keep`` up to ``newest`` ("yyyy-MM"); 0 deletes none. Returns what was deleted."""
-    if keep <= 0:
+def purge_months(spark: SparkSession, root: str, months: int, now: str) -> list[str]:
+    """Delete the months whose last day lies more than ``months`` times 31 days before ``now`` ("yyyy-MM-dd"); 0 deletes none. Returns what was deleted.
+
+    The rule is that of ``telemetry.retained_months``; rows without a time are never purged.
+    """
+    if months <= 0:
         return []
-    year, month = map(int, newest.split("-"))
-    first = year * 12 + month - 1 - (keep - 1)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+    today = dt.date.fromisoformat(now)
+    path, fs = _at(spark, root)
     gone = []
     for s in fs.listStatus(path):
         name = s.getPath().getName()
         if name.startswith("month=") and name[6:10].isdigit():
             y, m = map(int, name[6:].split("-"))
-            if y * 12 + m - 1 < first:
+            last = dt.date(y + m // 12, m % 12 + 1, 1) - dt.timedelta(days=1)
+            if (today - last).days > 31 * months:
                 fs.delete(s.getPath(), True)
                 gone.append(name[6:])
     return sorted(gone)
 
 
+def _at(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cache_key(file_hash: Column, options: Column) -> Column:
     """Key of a cached extraction: the file's hash and eight digits of its options'."""
     return F.concat(file_hash, F.lit("-"), F.substring(F.sha1(options.cast("binary")), 1, 8))
@@ -39,9 +47,8 @@ def cache_key(file_hash: Column, options: Column) -> Column:
 
 def cached(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The cache as a table of ``schema``, empty before the first put."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return spark.read.schema(schema).parquet(root) if path.getFileSystem(conf).exists(path) else spark.createDataFrame([], schema)
+    path, fs = _at(spark, root)
+    return spark.read.schema(schema).parquet(root) if fs.exists(path) else spark.createDataFrame([], schema)
 
 
 def fill_cache(wanted: DataFrame, root: str, schema: str, key: str, make) -> DataFrame:
@@ -52,6 +59,44 @@ def fill_cache(wanted: DataFrame, root: str, schema: str, key: str, make) -> Dat
     return cached(spark, root, schema).join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def remove_cached(gone: DataFrame, root: str, schema: str, key: str) -> int:
+    """Drop the rows of the keys in ``gone`` from the cache; returns how many rows that were. The rest is written beside it and then takes its place."""
+    spark = gone.sparkSession
+    all_ = cached(spark, root, schema)
+    kept = all_.join(gone.select(key).distinct(), key, "left_anti")
+    n = all_.count() - kept.count()
+    if n:
+        kept.write.mode("overwrite").parquet(f"{root}.new")
+        path, fs = _at(spark, root)
+        fs.delete(path, True)
+        if not fs.rename(_at(spark, f"{root}.new")[0], path):
+            raise OSError(f"could not put the new cache in place of {root}")
+    return n
+
+
+def clear_cache(spark: SparkSession, root: str) -> bool:
+    """Delete the whole cache; False if there was none."""
+    path, fs = _at(spark, root)
+    return fs.delete(path, True)
+
+
+def ensure_collection(points: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``points`` as they are, failing at the first vector that is not of ``dim`` numbers; null vectors fail too."""
+    bad = F.raise_error(F.concat(F.lit(f"vector of another length than {dim}: "), F.coalesce(F.size(vector).cast("string"), F.lit("null"))))
+    return points.withColumn(vector, F.when(F.coalesce(F.size(vector) == dim, F.lit(False)), F.col(vector)).otherwise(bad.cast(points.schema[vector].dataType)))
+
+
+def delete_by_file(points: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The points without those of one file, and how many it had; an unknown or null path changes nothing."""
+    mine = F.coalesce(F.col("file_path") == F.lit(path), F.lit(False))
+    return points.where(~mine), points.where(mine).count()
+
+
+def drop_topic(points: DataFrame, state: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+    """Points and state without a topic, whose collection is then empty."""
+    return tuple(d.where(~F.col("topic").eqNullSafe(topic)) for d in (points, state))
+
+
 def write_scores(scores: DataFrame, path: str, form: str = "json") -> None:
     """A run's scores as JSON lines or as CSV with a header, in one file: a few rows."""
     writer = scores.coalesce(1).write.mode("overwrite")

@@ -57,8 +57,9 @@ def test_months(spark, tmp_path):
     root = str(tmp_path / "t")
     rows = spark.createDataFrame([(1735689600000, "a"), (1740787200000, "b"), (None, "c")], "ts long, query string")
     S.append_telemetry(rows, root)
-    assert S.purge_months(spark, root, 0, "2025-03") == []
-    assert S.purge_months(spark, root, 2, "2025-03") == ["2025-01"]
+    assert S.purge_months(spark, root, 0, "2025-04-10") == []
+    assert S.purge_months(spark, root, 2, "2025-04-03") == []  # 62 days
+    assert S.purge_months(spark, root, 2, "2025-04-04") == ["2025-01"]
     assert sorted(r.query for r in spark.read.json(root).collect()) == ["b", "c"]
 
 
@@ -82,3 +83,24 @@ def test_scores_and_backfill(spark, tmp_path):
     assert S.backfill(df, {"n": F.length("text")}, str(tmp_path / "b")) == {"rows": 2, "empty": 1}
     with pytest.raises(ValueError):
         S.backfill(df, {"n": F.lit(None).cast("int")}, str(tmp_path / "b2"))
+
+
+def test_cache_removal(spark, tmp_path):
+    root, schema = str(tmp_path / "c"), "key string, text string"
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    S.fill_cache(keys("a", "b"), root, schema, "key", lambda d: d.selectExpr("key", "upper(key) AS text"))
+    assert S.remove_cached(keys("x"), root, schema, "key") == 0 and S.remove_cached(keys("a", "a"), root, schema, "key") == 1
+    assert [r.key for r in S.cached(spark, root, schema).collect()] == ["b"]
+    assert S.clear_cache(spark, root) and not S.clear_cache(spark, root) and S.cached(spark, root, schema).count() == 0
+
+
+def test_collections(spark):
+    points = spark.createDataFrame([("f", "T", [1.0, 2.0]), (None, "U", [0.0, 1.0]), ("g", None, [1.0, 1.0])], "file_path string, topic string, v array<double>")
+    assert S.ensure_collection(points, "v", 2).count() == 3
+    for bad in ([1.0], None):
+        with pytest.raises(Exception, match="another length"):
+            S.ensure_collection(spark.createDataFrame([("f", bad)], "file_path string, v array<double>"), "v", 2).collect()
+    rest, n = S.delete_by_file(points, "f")
+    assert n == 1 and rest.count() == 2 and S.delete_by_file(points, None)[1] == 0
+    a, b = S.drop_topic(points, points, "T")
+    assert a.count() == b.count() == 2
