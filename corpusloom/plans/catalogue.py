@@ -356,8 +356,8 @@ def _truth(s, d):
     return E.page_refs(rows, "ref").withColumn("ref", F.concat_ws("#", "file", F.coalesce(F.col("page").cast("string"), F.lit("?"))))
 
 
-def _predicted_pages(s, d):
-    p = E.ordered(E.canonical(_run(s, d), E.alias_map(E.content_digest(elements(s, d)))), ["file", "page"])
+def _predicted_pages(s, d, alias):
+    p = E.ordered(E.canonical(_run(s, d), alias), ["file", "page"])
     return p.withColumn("ref", F.concat_ws("#", "file", F.coalesce(F.col("page").cast("string"), F.lit("?"))))
 
 
@@ -372,7 +372,8 @@ def alias_map(s, d):
 
 
 def page_match(s, d):
-    return E.page_hits(_predicted_pages(s, d), E.canonical(_truth(s, d), E.alias_map(E.content_digest(elements(s, d)))))
+    alias = cut(E.alias_map(E.content_digest(elements(s, d))))  # for both sides
+    return E.page_hits(_predicted_pages(s, d, alias), E.canonical(_truth(s, d), alias))
 
 
 def _scores(s, d):
@@ -397,7 +398,7 @@ def eval_aggregate(s, d):
 
 
 def eval_files(s, d):
-    alias = E.alias_map(E.content_digest(elements(s, d)))
+    alias = cut(E.alias_map(E.content_digest(elements(s, d))))
     predicted = E.ordered(E.canonical(_run(s, d), alias).select("query_id", "file", "rank"), ["file"])
     hits = E.file_hits(predicted, E.canonical(_truth(s, d), alias))
     return E.family(E.case_scores(golden(s, d).select(F.col("item_id").alias("query_id")), hits, E.FILE_KS), E.FILE_KS)
@@ -413,7 +414,7 @@ def eval_summary(s, d):
 
 
 def eval_warnings(s, d):
-    alias = E.alias_map(E.content_digest(elements(s, d)))
+    alias = cut(E.alias_map(E.content_digest(elements(s, d))))
     return E.never_retrieved(E.canonical(_truth(s, d), alias), E.canonical(_run(s, d), alias))
 
 
@@ -422,8 +423,9 @@ def weighted_mrr(s, d):
 
 
 def run_compare(s, d):
-    scores = _scores(s, d).join(golden(s, d).select(F.col("item_id").alias("query_id"), "topic"), "query_id")
-    other = E.case_scores(golden(s, d).select(F.col("item_id").alias("query_id")), page_match(s, d).where("rank <= 3"), E.PAGE_KS).join(golden(s, d).select(F.col("item_id").alias("query_id"), "topic"), "query_id")
+    hits, cases = cut(page_match(s, d)), golden(s, d).select(F.col("item_id").alias("query_id"), "topic")
+    scores = E.case_scores(cases, hits, E.PAGE_KS).join(cases, "query_id")
+    other = E.case_scores(cases, hits.where("rank <= 3"), E.PAGE_KS).join(cases, "query_id")
     return E.compare_runs(E.family(other, E.PAGE_KS, ["topic"]), E.family(scores, E.PAGE_KS, ["topic"]), "topic")
 
 
