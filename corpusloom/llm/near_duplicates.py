@@ -10,8 +10,9 @@ the eight segments of two similar texts holds at most an eighth of their errors.
 Twelve bits can't tell millions of texts apart, so every key also holds an anchor: one of the seven
 least-hashed seven-word sequences of the text. Texts are brought together by anchor once, and the keys of
 all eight segments are joined there, without another shuffle. An anchor that many texts share, such as a
-phrase of a template, is left out for texts with enough other anchors; the few texts made of little
-else are joined by keys of two segments each. What meets under a key and differs in few bits of a sketch of the
+phrase of a template, would bring together pairs by the square of their number. All texts that hold one are joined
+by their rarest word sequences instead: in any common order, two texts as similar as asked share one of the first that
+each has, as many as it can lack and one more. What meets under a key and differs in few bits of a sketch of the
 word sequences themselves is verified by the exact similarity of the distinct word sequences.
 """
 
@@ -34,8 +35,10 @@ from corpusloom.session import cut, spread, table
 ANCHORS, ANCHOR_WORDS, SEGMENTS, BITS, SKETCH = 7, 7, 8, 23, 63
 #: Of the 126 bits of the sketch, texts at a similarity of 0.6 differ in about 21 and at most 35, at 0.2 in about 48.
 MAX_BITS = 38
-#: An anchor that more texts share is hot; a text needs so many others (or all it has) for its hot ones to be left out.
-HOT, ENOUGH = 256, 4
+#: An anchor that more texts share is hot, and so is a word sequence in the texts that hold such an anchor.
+HOT = 512
+#: So many hot word sequences are put in order by how frequent they are, the others by hash; this decides what the join costs, not what it finds.
+ORDERED = 200_000
 #: Tables of ids and anchors are broadcast up to so many rows of one or two longs, beyond that they are shuffled.
 BROADCAST_ROWS = 200_000
 #: Copies of one text are written out as all their pairs up to this many rows, beyond as pairs with the least row.
@@ -141,8 +144,8 @@ class Fingerprinter:
         self.shingle, self.min_words = shingle, min_words
         self.tokens = _Tokens()
 
-    def batch(self, texts: list[str | None]) -> dict:
-        """Columns for those texts that have enough words; ``at`` gives their positions in ``texts``."""
+    def words(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Of the texts that have enough words: positions in ``texts``, hashes of all words and whose they are."""
         at, lengths, flat = [], [], []
         for i, t in enumerate(texts):
             if not t:
@@ -152,16 +155,48 @@ class Fingerprinter:
                 at.append(i)
                 lengths.append(len(w))
                 flat.append(np.array(w, _U))
+        return at, np.concatenate([np.zeros(0, _U), *flat]), np.repeat(np.arange(len(at)), lengths)
+
+    def grams(self, texts: list[str | None]) -> np.ndarray:
+        """The distinct word sequences of each text, one after the other."""
+        _, h, doc = self.words(texts)
+        with np.errstate(over="ignore"):
+            return _grams(h, doc, self.shingle)[1]
+
+    def first_grams(self, texts: list[str | None], hot: np.ndarray, places: np.ndarray, threshold: float) -> dict:
+        """Of each text's distinct word sequences the first, as many as a text at the threshold can lack and one more.
+
+        The sorted ``hot`` sequences come last, by their ``places``, the others before by hash.
+        """
+        at, h, doc = self.words(texts)
+        k = len(at)
+        if not k:
+            return {"at": at}
+        with np.errstate(over="ignore"):
+            d, g = _grams(h, doc, self.shingle)
+            start = np.searchsorted(d, np.arange(k))
+            sketch = _sketch(g, d, start, k)
+            n = np.bincount(d, minlength=k)
+            rank = _mix(g) >> _U(1)
+        if len(hot):
+            i = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
+            rank = np.where(hot[i] == g, (_U(1) << _U(63)) + places[i], rank)
+        order = np.lexsort((rank, d))
+        first = np.arange(len(d)) - start[d] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[d]
+        d, g = d[first], g[order][first]
+        return {"at": np.array(at, np.int64)[d], "gram": g.astype(np.int64), "n": n[d], "sketch": [x[d] for x in sketch]}
+
+    def batch(self, texts: list[str | None]) -> dict:
+        """Columns for those texts that have enough words; ``at`` gives their positions in ``texts``."""
+        at, h, doc = self.words(texts)
         k = len(at)
         if not k:
             return {"at": at}
-        h = np.concatenate(flat)
-        doc = np.repeat(np.arange(k), lengths)
         with np.errstate(over="ignore"):
             d, g = _grams(h, doc, self.shingle)
             start = np.searchsorted(d, np.arange(k))
             one, two = np.add.reduceat(_mix(g), start), np.add.reduceat(_mix(g ^ _U(0x5851F42D4C957F2D)), start)
-            sketch = [_slots(g ^ _U(seed), d, start, k, SKETCH, SKETCH * 0.69) for seed in (0x2545F4914F6CDD1D, 0x1B873593)]
+            sketch = _sketch(g, d, start, k)
             d, g = _grams(h, doc, 1)
             start = np.searchsorted(d, np.arange(k))
             seg = [_slots(g ^ _U(s * 7919 + 13), d, start, k, BITS, 16) for s in range(SEGMENTS)]
@@ -173,6 +208,10 @@ class Fingerprinter:
         return {"at": at, "one": one.view(np.int64), "two": two.view(np.int64), "packed": pack_segments(seg), "sketch": sketch, "anchors": g[chosen].astype(np.int64), "offsets": np.concatenate([[0], ends])}
 
 
+def _sketch(g: np.ndarray, d: np.ndarray, start: np.ndarray, k: int) -> list[np.ndarray]:
+    return [_slots(g ^ _U(seed), d, start, k, SKETCH, SKETCH * 0.69) for seed in (0x2545F4914F6CDD1D, 0x1B873593)]
+
+
 def _slots(g: np.ndarray, d: np.ndarray, start: np.ndarray, k: int, bits: int, least: float) -> np.ndarray:
     """Per document which of the slots its chosen items fall into; about half of the slots are taken."""
     v = _mix(g)
@@ -246,19 +285,14 @@ def meet(groups: np.ndarray, packed: list[np.ndarray], sketch: list[np.ndarray])
     return both >> 32, both & ((1 << 32) - 1)
 
 
-def _meet_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition sorted by anchor; the rows of a batch's last anchor wait for the next batch."""
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of the rows that share their first one, in which a partition is sorted, with another row, and the groups' numbers; a batch's last group waits for the next batch."""
     held: list[np.ndarray] | None = None
 
-    def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, row = cols[:2]
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        group = np.cumsum(new)
+    def shared(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        group = np.cumsum(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
         keep = np.bincount(group)[group] > 1
-        cols = [c[keep] for c in cols]
-        i, j = meet(group[keep], cols[2:6], cols[6:8])
-        a, b = cols[1][i], cols[1][j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return [c[keep] for c in cols], group[keep]
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -269,22 +303,58 @@ def _meet_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = int(np.searchsorted(cols[0], cols[0][-1]))
         held = [c[whole:] for c in cols]
         if whole:
-            yield flush([c[:whole] for c in cols])
+            yield shared([c[:whole] for c in cols])
     if held is not None and len(held[0]):
-        yield flush(held)
+        yield shared(held)
 
 
-def _paired_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of an anchor and the codeword indices of two segments."""
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        for s in range(0, SEGMENTS, 2):
-            at, x = near_codewords(segment(cols[2:6], s))
-            at2, y = near_codewords(segment(cols[2:6], s + 1)[at])
-            row = at[at2]
-            with np.errstate(over="ignore"):
-                k = _mix(cols[0][row].astype(_U) ^ (x[at2] << 12 | y | s << 24).astype(_U) << _U(32)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), *[pa.array(c[row]) for c in (cols[1], *cols[6:8])]], ["k", "row_id", "s0", "s1"])
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _meet_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of a partition sorted by anchor."""
+    for cols, group in _sorted_groups(batches):
+        i, j = meet(group, cols[2:6], cols[6:8])
+        yield _pairs(cols[1][i], cols[1][j])
+
+
+def _meet_grams(threshold: float):
+    """Candidate pairs of a partition sorted by word sequence: as long as the threshold asks and close in their sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, row, n, *sketch), group in _sorted_groups(batches):
+            for i, j in _runs(group):
+                close = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & _near(sketch, i, j)
+                if close.any():
+                    yield _pairs(row[i[close]], row[j[close]])
+
+    return run
+
+
+def _first_grams(texts: DataFrame, shingle: int, threshold: float, min_words: int) -> DataFrame:
+    """(gram, row_id, n, s0, s1): the first word sequences of each text (row_id, text), those in many texts last."""
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What stands once in a batch isn't counted: it is that much more frequent at most.
+        maker = Fingerprinter(shingle, min_words)
+        for batch in batches:
+            g, n = np.unique(maker.grams(batch.column(1).to_pylist()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
+
+    counts = texts.mapInArrow(often, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    hot = np.array([r.gram for r in counts.orderBy(F.desc("n"), "gram").limit(ORDERED).collect()], _U)[::-1]
+    by = np.argsort(hot)
+    hot, places = hot[by], by.astype(_U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Fingerprinter(shingle, min_words)
+        for batch in batches:
+            got = maker.first_grams(batch.column(1).to_pylist(), hot, places, threshold)
+            if len(got["at"]):
+                yield pa.RecordBatch.from_arrays([pa.array(got["gram"]), batch.column(0).take(pa.array(got["at"])), *map(pa.array, (got["n"], *got["sketch"]))], ["gram", "row_id", "n", "s0", "s1"])
+
+    return texts.mapInArrow(run, "gram bigint, row_id bigint, n bigint, s0 bigint, s1 bigint")
 
 
 def _sets(shingle: int):
@@ -324,29 +394,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def candidates_of(reps: DataFrame) -> DataFrame:
-    """(a, b): pairs of fingerprints that meet under a key, a < b."""
-    of = ["anchor", "row_id", *_PRINT]
-    hot = cut(reps.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"))
-    shared = _small(hot)
+def candidates_of(reps: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, threshold: float, min_words: int) -> DataFrame:
+    """(a, b): pairs of fingerprints that meet under a key, a < b; ``rows`` holds their texts."""
     anchored = reps.select(F.explode("anchors").alias("anchor"), "row_id", *_PRINT)
-    cold = anchored.join(shared, "anchor", "left_anti").select(*of).repartition("anchor").sortWithinPartitions("anchor")
+    hot = cut(anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"))
+    shared = _small(hot)
+    cold = anchored.join(shared, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     out = cold.mapInArrow(_meet_sorted, "a bigint, b bigint")
     if hot.limit(1).count():
-        taken = reps.select("row_id", F.size("anchors").alias("n"), F.explode("anchors").alias("anchor")).join(shared, "anchor", "left_semi")
-        taken = taken.groupBy("row_id").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n"))
-        poor = cut(taken.where(F.col("n") - F.col("h") < F.least(F.lit(ENOUGH), F.col("n"))).select("row_id"))
-        keys = cut(anchored.join(_small(poor), "row_id", "left_semi").join(shared, "anchor", "left_semi").select(*of).mapInArrow(_paired_keys, "k bigint, row_id bigint, s0 bigint, s1 bigint"))
-        x, y = (keys.select("k", F.col("row_id").alias(i), F.col("s0").alias(f"p{i}"), F.col("s1").alias(f"q{i}")) for i in "ab")
-        differ = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
-        out = out.unionByName(x.join(y, "k").where((F.col("a") < F.col("b")) & (differ <= MAX_BITS)).select("a", "b"))
+        holders = cut(anchored.select("anchor", "row_id").join(shared, "anchor", "left_semi").select("row_id").distinct())
+        texts = cut(rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).join(_small(holders), "row_id", "left_semi"))
+        grams = _first_grams(texts, shingle, threshold, min_words).repartition("gram").sortWithinPartitions("gram")
+        out = out.unionByName(grams.mapInArrow(_meet_grams(threshold), "a bigint, b bigint"))
     return out.distinct()
 
 
-def class_pairs(rows: DataFrame, prints: DataFrame, copies: DataFrame, key: str, text: str, shingle: int, threshold: float) -> DataFrame:
+def class_pairs(rows: DataFrame, prints: DataFrame, copies: DataFrame, key: str, text: str, shingle: int, threshold: float, min_words: int) -> DataFrame:
     """(a, b, similarity): the similar pairs between class representatives, a < b."""
     reps = prints.join(_small(copies.where("row_id <> rep").select("row_id")), "row_id", "left_anti")
-    return cut(_verified(rows, cut(candidates_of(reps)), key, text, shingle, threshold))
+    return cut(_verified(rows, cut(candidates_of(reps, rows, key, text, shingle, threshold, min_words)), key, text, shingle, threshold))
 
 
 def _verified(rows: DataFrame, candidates: DataFrame, key: str, text: str, shingle: int, threshold: float) -> DataFrame:
@@ -370,9 +436,10 @@ def near_duplicates(rows: DataFrame, key: str, text: str, shingle: int = 5, thre
     ``key`` must be unique and not null.
     """
     rows = rows.select(key, text)
-    prints = cut(fingerprints(rows, key, text, shingle, max(shingle, min_words or 0)))
+    min_words = max(shingle, min_words or 0)
+    prints = cut(fingerprints(rows, key, text, shingle, min_words))
     copies = cut(classes(prints))
-    return copies, class_pairs(rows, prints, copies, key, text, shingle, threshold)
+    return copies, class_pairs(rows, prints, copies, key, text, shingle, threshold, min_words)
 
 
 def row_pairs(copies: DataFrame, pairs: DataFrame) -> DataFrame:

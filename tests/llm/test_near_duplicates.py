@@ -83,6 +83,20 @@ def test_hot_anchors(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > N.HOT
 
 
+def test_pairs_that_share_only_hot_anchors(spark, monkeypatch):
+    # Texts of one template with four words of their own each: half of their anchors are their own, and all pairs are similar.
+    monkeypatch.setattr(N, "HOT", 20)
+    rows = []
+    for i in range(60):
+        words = [f"plantilla{k}" for k in range(60)]
+        for at in (9, 21, 33, 45):
+            words[at] = f"propia{i}x{at}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    got = {tuple(r) for r in N.row_pairs(*N.near_duplicates(df, "row_id", "text", 3, 0.6, 20)).collect()}
+    assert got == brute(rows, 3, 0.6, 20) and len(got) == 60 * 59 // 2
+
+
 def test_many_copies_stand_as_a_star(spark):
     text = " ".join(f"voz{i}" for i in range(40))
     rows = [(i, text) for i in range(N.EXPAND + 6)] + [(1000, text + " más")]
