@@ -3,9 +3,9 @@
 Damage is undone by best-first search over texts: a step re-encodes in the encoding a text was wrongly
 read in and decodes in the one it was written in, or unescapes glyph marks. States are kept by hash,
 the queue is ordered by a plausibility cost plus a small cost for each step, and the cheapest text
-reached is the answer. The cost has two parts: places that no right text has, and a character model fitted to a
-bounded sample of undamaged texts, which charges every other character than ASCII in surroundings that the
-sample never shows. A text that the model finds less plausible than the damaged one is refused. What a
+reached is the answer. The cost has two parts: places that no right text has, and a character model fitted to all
+texts that look right, which charges every other character than ASCII in surroundings that next to none of
+them shows. A text that the model finds less plausible than the damaged one is refused. What a
 stand-in character has replaced can be found but not restored.
 """
 
@@ -16,16 +16,21 @@ import html
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import spread, table
+from corpusloom.session import cut, spread, table
 
 STEP = 0.4
-#: What a character costs in surroundings that the model has not seen, and the texts it is fitted to at most.
-UNSEEN, SAMPLE = 0.1, 1000
+#: What a character costs in surroundings that the model has not seen.
+UNSEEN = 0.1
+#: The share of the texts that look right which must show surroundings: what fewer show may be damage that nothing tells.
+SHARE = 1e-4
+#: Characters of texts that are counted in one go.
+BLOCK = 1 << 20
 
 # ---- plausibility: what each implausible match costs ---------------------------------------------
 
@@ -87,23 +92,45 @@ def fixed_cost(text: str) -> float:
     return sum(2.0 if m == "\ufffd" else 6.0 for m in _FIXED.findall(text))
 
 
-def surroundings(text: str) -> list[str]:
-    """Each character other than ASCII with its neighbours, in lower case; digits are alike."""
-    low = f" {text.lower()} ".translate(_DIGITS)
-    return [low[i - 1 : i + 2] for i, c in enumerate(low) if c > "\x7f"]
+def _places(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters other than ASCII stand, and each with its neighbours as one number; digits are alike. No such character is the first or last."""
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(c > 0x7F)
+    c = np.where((c > 0x30) & (c <= 0x39), 0x30, c).astype(np.int64)
+    return at, c[at - 1] << 42 | c[at] << 21 | c[at + 1]
 
 
-_DIGITS = str.maketrans("123456789", "000000000")
+def surroundings(text: str) -> np.ndarray:
+    """Each character other than ASCII with its neighbours, in lower case, as a number."""
+    return _NOTHING if text.isascii() else _places(f" {text.lower()} ")[1]
 
 
-def fit_characters(texts: list[str]) -> frozenset[str]:
-    """The surroundings seen in undamaged texts."""
-    return frozenset(s for t in texts for s in surroundings(t))
+_NOTHING = np.zeros(0, np.int64)
 
 
-def unseen(text: str, model: frozenset[str]) -> int:
+def count_surroundings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(surroundings, n): the distinct ones of the texts, sorted, and how many texts show each."""
+    low = [t.lower() for t in texts]
+    at, s = _places(f" {' '.join(low)} ")
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), at)
+    order = np.lexsort((doc, s))
+    s, doc = s[order], doc[order]
+    return np.unique(s[np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])])[: len(s)]], return_counts=True)
+
+
+def fit_characters(texts: list[str]) -> np.ndarray:
+    """The surroundings that enough of these undamaged texts show, sorted."""
+    s, n = count_surroundings(texts)
+    return s[n >= SHARE * len(texts)]
+
+
+def unseen(text: str, model: np.ndarray) -> int:
     """How many characters stand in surroundings that the model has not seen; a mark for a character counts as one."""
-    return sum(s not in model for s in surroundings(text)) + len(_MARK.findall(text)) if model else 0
+    if not len(model):
+        return 0
+    s = surroundings(text)
+    new = np.count_nonzero(model[np.minimum(np.searchsorted(model, s), len(model) - 1)] != s) if len(s) else 0
+    return int(new) + len(_MARK.findall(text))
 
 
 _MARK = regex.compile(r"GLYPH<[^<>\n]{1,60}>|&[#0-9A-Za-z]{2,8};")
@@ -220,7 +247,7 @@ STEPS = {
 FIRST_ONLY = frozenset(n for n in STEPS if " read as " in n and n != "utf8 read as cp1252")
 
 
-def restore(text: str | None, model: frozenset[str] = frozenset()) -> tuple[str | None, list[str], int, bool]:
+def restore(text: str | None, model: np.ndarray = _NOTHING) -> tuple[str | None, list[str], int, bool]:
     """The cheapest text reachable, the steps to it, the number of stand-ins left in it, and whether the text is damaged.
 
     Texts that are null, empty or plausible come back unchanged with no step. So do damaged ones of which no
@@ -261,6 +288,37 @@ def restore(text: str | None, model: frozenset[str] = frozenset()) -> tuple[str
     return best[1], list(best[2]), left, damaged_ or left > 0
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, n) of those of the texts (text, odd) that look right, block by block; -1 stands for the texts themselves."""
+
+    def counted(block: list[str]) -> pa.RecordBatch:
+        s, n = count_surroundings(block)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(s, -1)), pa.array(np.append(n, len(block)))], ["s", "n"])
+
+    block, size = [], 0
+    for batch in batches:
+        for t, odd in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if odd and plausibility_cost(t) > 0:
+                continue
+            block.append(t)
+            size += len(t)
+            if size > BLOCK:
+                yield counted(block)
+                block, size = [], 0
+    yield counted(block)
+
+
+def character_model(texts: DataFrame) -> np.ndarray:
+    """``fit_characters`` of all texts that look right and aren't ASCII alone.
+
+    Counted where the texts are. No more comes to the driver than 1 / SHARE times the surroundings of an average text.
+    """
+    shown = texts.where(F.col("text").rlike("[^\\x00-\\x7f]")).select("text", F.col("text").rlike(SUSPICIOUS).alias("odd"))
+    counts = cut(shown.mapInArrow(_count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")))
+    least = F.broadcast(counts.where("s = -1").select((F.col("n") * SHARE).alias("least")))
+    return np.array(sorted(r.s for r in counts.where("s >= 0").join(least, F.col("n") >= F.col("least")).select("s").collect()), np.int64)
+
+
 _OUT = "element_id bigint, file_path string, restored string, steps array<string>, stand_ins int"
 
 
@@ -273,11 +331,8 @@ def damaged(elements: DataFrame, extractions: DataFrame) -> DataFrame:
     repeat rows. Elements delivered twice come out twice, under each id.
     """
     texts = elements.select(F.col("element_id").cast("long").alias("element_id"), "file_path", "text").where(F.length("text") > 0)
-    odd = F.col("text").rlike(SUSPICIOUS)
-    # A bounded sample, those least by hash of their id; of it the texts that look right.
-    sample = texts.where(F.col("text").rlike("[^\\x00-\\x7f]")).orderBy(F.xxhash64("element_id"), "text").limit(SAMPLE).select("text").collect()
-    model = fit_characters([r.text for r in sample if plausibility_cost(r.text) == 0])
-    suspects = texts.where(odd)
+    model = character_model(texts)
+    suspects = texts.where(F.col("text").rlike(SUSPICIOUS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

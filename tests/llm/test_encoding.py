@@ -66,6 +66,29 @@ def test_implausible_results_are_refused():
     assert bad and (steps == [] and text == "a‡b reg‡men" or C.unseen(text, model) <= C.unseen("a‡b reg‡men", model))
 
 
+def test_model_counts_all_texts(spark):
+    texts = ["el régimen", "İ\u0130 ΑΣ", "día 17 é", "día 29 é", "cœur", "室温で実験", "plain", "ÃƒÂ© tÃ©rmino"]
+    s, n = C.count_surroundings(texts[:-1])
+    want = {}
+    for t in texts[:-1]:
+        low = f" {t.lower()} ".translate(str.maketrans("123456789", "000000000"))
+        for x in {low[i - 1 : i + 2] for i, c in enumerate(low) if c > "\x7f"}:
+            want[x] = want.get(x, 0) + 1
+    assert {"".join(chr(int(v) >> k & 0x1FFFFF) for k in (42, 21, 0)): m for v, m in zip(s, n)} == want and want[" é "] == 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "element_id long, text string")
+    right = [t for t in texts if not t.isascii() and C.plausibility_cost(t) == 0]
+    assert 5 <= len(right) < len(texts) and C.character_model(df).tolist() == C.fit_characters(right).tolist()
+
+
+def test_rare_surroundings_are_seen_in_the_whole_table(spark):
+    # Two readings cost the same but for the model, and 5 of 30,000 right texts, none of them among the 1,000 least by hash of their ids, show one.
+    bad = "El gremio pesa ¢ kg y el m·sculo agonista."
+    rows = [(i, "f", "La función") for i in range(30_000)] + [(40_010 + i, "f", f"Palabra{i} pesa ½ kg") for i in range(5)] + [(50_000, "f", "Damaged pesa ¢ kg"), (60_000, "f", bad)]
+    e = spark.createDataFrame(rows, "element_id long, file_path string, text string")
+    got = {r.element_id: r.restored for r in C.damaged(e, spark.createDataFrame([], "file_path string, extractor string")).collect()}
+    assert got == {60_000: "El gremio pesa ½ kg y el músculo agonista."}
+
+
 def test_whatever_may_cost_is_searched(spark):
     """The filter before the search lets every text pass that costs anything."""
     from pyspark.sql import functions as F
