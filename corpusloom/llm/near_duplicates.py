@@ -12,7 +12,7 @@ least-hashed seven-word sequences of the text. Texts are brought together by anc
 all eight segments are joined there, without another shuffle. An anchor that many texts share, such as a
 phrase of a template, would bring together pairs by the square of their number. All texts that hold one are joined
 by their rarest word sequences instead: in any common order, two texts as similar as asked share one of the first that
-each has, as many as it can lack and one more. What meets under a key and differs in few bits of a sketch of the
+each has, as many as it can lack and one more; pairs are made only of texts of which enough is left from there on. What meets under a key and differs in few bits of a sketch of the
 word sequences themselves is verified by the exact similarity of the distinct word sequences.
 """
 
@@ -181,10 +181,10 @@ class Fingerprinter:
         if len(hot):
             i = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
             rank = np.where(hot[i] == g, (_U(1) << _U(63)) + places[i], rank)
-        order = np.lexsort((rank, d))
-        first = np.arange(len(d)) - start[d] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[d]
+        order, before = np.lexsort((rank, d)), np.arange(len(d)) - start[d]
+        first = before < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[d]
         d, g = d[first], g[order][first]
-        return {"at": np.array(at, np.int64)[d], "gram": g.astype(np.int64), "n": n[d], "sketch": [x[d] for x in sketch]}
+        return {"at": np.array(at, np.int64)[d], "gram": g.astype(np.int64), "n": n[d], "left": n[d] - before[first], "sketch": [x[d] for x in sketch]}
 
     def batch(self, texts: list[str | None]) -> dict:
         """Columns for those texts that have enough words; ``at`` gives their positions in ``texts``."""
@@ -319,13 +319,34 @@ def _meet_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(cols[1][i], cols[1][j])
 
 
+def _ranges(counts: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each position with as many of the next ones as ``counts`` says, in blocks."""
+    ends, low = np.cumsum(counts), 0
+    while low < len(counts):
+        done = ends[low] - counts[low]
+        high = max(low + 1, int(np.searchsorted(ends, done + at_once, side="right")))
+        n = counts[low:high]
+        i = np.repeat(np.arange(low, high), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(ends[low:high] - n - done, n)
+        low = high
+
+
 def _meet_grams(threshold: float):
-    """Candidate pairs of a partition sorted by word sequence: as long as the threshold asks and close in their sketch."""
+    """Candidate pairs of a partition sorted by word sequence and number of sequences: those that can be as similar as asked and are close in their sketch.
+
+    Similar texts have at least the share t / (1 + t) of both their numbers in common. If they first meet here, all that lies before is
+    theirs alone, and what is left of either must hold as many; where it doesn't, a similar pair has met before.
+    """
+    share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, row, n, *sketch), group in _sorted_groups(batches):
-            for i, j in _runs(group):
-                close = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & _near(sketch, i, j)
+        for (_, row, n, left, *sketch), group in _sorted_groups(batches):
+            longest = np.floor(np.minimum(n / threshold, left / share - n) + 1e-6).astype(np.int64)
+            ends = np.searchsorted(group << 32 | n, group << 32 | np.maximum(longest, 0), side="right")
+            for i, j in _ranges(np.maximum(ends - np.arange(len(n)) - 1, 0)):
+                able = left[j] >= share * (n[i] + n[j]) - 1e-6
+                i, j = i[able], j[able]
+                close = _near(sketch, i, j)
                 if close.any():
                     yield _pairs(row[i[close]], row[j[close]])
 
@@ -333,7 +354,7 @@ def _meet_grams(threshold: float):
 
 
 def _first_grams(texts: DataFrame, shingle: int, threshold: float, min_words: int) -> DataFrame:
-    """(gram, row_id, n, s0, s1): the first word sequences of each text (row_id, text), those in many texts last."""
+    """(gram, row_id, n, left, s0, s1): the first word sequences of each text (row_id, text), those in many texts last, and how many each has from there on."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What stands once in a batch isn't counted: it is that much more frequent at most.
@@ -352,9 +373,9 @@ def _first_grams(texts: DataFrame, shingle: int, threshold: float, min_words: in
         for batch in batches:
             got = maker.first_grams(batch.column(1).to_pylist(), hot, places, threshold)
             if len(got["at"]):
-                yield pa.RecordBatch.from_arrays([pa.array(got["gram"]), batch.column(0).take(pa.array(got["at"])), *map(pa.array, (got["n"], *got["sketch"]))], ["gram", "row_id", "n", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(got["gram"]), batch.column(0).take(pa.array(got["at"])), *map(pa.array, (got["n"], got["left"], *got["sketch"]))], ["gram", "row_id", "n", "left", "s0", "s1"])
 
-    return texts.mapInArrow(run, "gram bigint, row_id bigint, n bigint, s0 bigint, s1 bigint")
+    return texts.mapInArrow(run, "gram bigint, row_id bigint, n bigint, left bigint, s0 bigint, s1 bigint")
 
 
 def _sets(shingle: int):
@@ -404,7 +425,7 @@ def candidates_of(reps: DataFrame, rows: DataFrame, key: str, text: str, shingle
     if hot.limit(1).count():
         holders = cut(anchored.select("anchor", "row_id").join(shared, "anchor", "left_semi").select("row_id").distinct())
         texts = cut(rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).join(_small(holders), "row_id", "left_semi"))
-        grams = _first_grams(texts, shingle, threshold, min_words).repartition("gram").sortWithinPartitions("gram")
+        grams = _first_grams(texts, shingle, threshold, min_words).repartition("gram").sortWithinPartitions("gram", "n")
         out = out.unionByName(grams.mapInArrow(_meet_grams(threshold), "a bigint, b bigint"))
     return out.distinct()
 
@@ -456,7 +477,8 @@ def row_pairs(copies: DataFrame, pairs: DataFrame) -> DataFrame:
     y = small.select(F.col("rep").alias("b"), F.col("row_id").alias("mb"))
     across = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
     out = within.unionByName(star).unionByName(across)
-    return out.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b")).distinct()
+    # Each pair stands once: within a class, with its representative, or across two classes.
+    return out.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
